@@ -187,3 +187,16 @@ def hash_whole(words: np.ndarray, seed: int = 0) -> int:
     if not len(words):
         return 0
     return int(mix(np.array([(words * _splitmix(len(words), 31 + 7919 * seed)).sum(dtype=np.uint64) ^ np.uint64(len(words))], dtype=np.uint64))[0])
+
+
+def chunks(texts: list, limit: int):
+    """Consecutive slices (first, last) of `texts` with about `limit` characters each, one text at least."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > first and size + n > limit:
+            yield first, i
+            first, size = i, 0
+        size += n
+    if len(texts) > first:
+        yield first, len(texts)
