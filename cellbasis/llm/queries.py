@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellbasis.llm import decontaminate, exact_dedup, langid, packing, pii, substring_dedup, urlfilter, warc
+from cellbasis.llm import decontaminate, exact_dedup, langid, line_dedup, minhash, packing, pii, substring_dedup, urlfilter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
@@ -21,6 +25,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -48,8 +56,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_pii": op3_pii,
+        "op4_line_dedup": op4_line_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_warc": op6_warc,
         "op7_language_id": op7_language_id,
@@ -61,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_dedup": minhash.ORACLE_SQL,
         "op2_exact_dedup": exact_dedup.ORACLE_SQL,
         "op5_decontaminate": decontaminate.ORACLE_SQL,
         "op6_warc": warc.ORACLE_SQL,
