@@ -200,3 +200,26 @@ def chunks(texts: list, limit: int):
         size += n
     if len(texts) > first:
         yield first, len(texts)
+
+
+def keep_rows(docs: DataFrame, text_col: str, test) -> DataFrame:
+    """The rows of `docs`, all columns as they are, for whose texts `test` (list of texts -> list of bool) is true."""
+    import pyarrow as pa
+
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            kept: list[bool] = []
+            for a, b in chunks(texts, 1 << 20):
+                kept += test(texts[a:b])
+            yield batch.filter(pa.array(kept, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def keep_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id, null included, is among the distinct `ids` (one column)."""
+    wanted = ids.toDF("__wanted").distinct()
+    return docs.join(wanted, docs[id_col].eqNullSafe(wanted["__wanted"]), "left_semi")

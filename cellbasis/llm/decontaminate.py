@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellbasis.llm.common import ready
+from cellbasis.llm.common import keep_rows, ready
 
 WINDOW = 10
 #: Bytes of item text in one automaton (about 100 times as many in memory at worst). Beyond it items are dealt into groups,
@@ -127,6 +126,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_i
     return by_text.select("doc_id", "text", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("t")).drop("t").mapInArrow(_unite, SCHEMA)
 
 
+def clean_only(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, in which no window of `items` occurs."""
+    spark = docs.sparkSession
+    ready(spark)
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups = max(1, -(-total // max_item_bytes))
+    out = docs
+    for g in range(groups):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
+        automaton = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in part.collect()], window))
+        out = keep_rows(out, text_col, _clean(automaton))
+    return out
+
+
+def _clean(automaton):
+    loaded: dict[int, object] = {}
+
+    def test(texts: list) -> list[bool]:
+        machine = loaded.get(0) or loaded.setdefault(0, pickle.loads(automaton.value))
+        return [scan(t, machine)[1] is None for t in texts]
+
+    return test
+
+
 def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []

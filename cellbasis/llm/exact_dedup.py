@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellbasis.llm.common import attach, ready, written
+from cellbasis.llm.common import attach, keep_ids, ready, written
 
 #: Characters that equality ignores: \x20 and \x09-\x0D.
 IGNORED = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -103,6 +103,13 @@ def exact_dedup(
     )
 
 
+def distinct_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns; rows that repeat an id and its text are one document."""
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select("doc_id")
+    stay = keep_ids(docs, id_col, kept).withColumn("__digest", sha256_hex(normalised(F.col(text_col))))
+    return stay.dropDuplicates([id_col, "__digest"]).select(*docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH k AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

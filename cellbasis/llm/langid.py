@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellbasis.llm.common import chunks, ready
+from cellbasis.llm.common import chunks, keep_rows, ready
 
 UNKNOWN = "und"
 #: The documented bound of the training sample: documents a language, characters of each, characters a language.
@@ -202,3 +202,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), langs, scores], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return plain.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+
+
+def known_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose language can be told: not null and not without any letter."""
+    ready(docs.sparkSession)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(plain)))
+    return keep_rows(docs, text_col, lambda texts: [lang != UNKNOWN for lang, _ in predict(texts, model.value)])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellbasis.llm.common import Words, _splitmix, attach, chunks, hash_whole, ready, windows, written
+from cellbasis.llm.common import Words, _splitmix, attach, chunks, hash_whole, keep_ids, ready, windows, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -277,6 +277,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(null("id").alias("doc_id"), "n_shingles", null("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def representatives_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with all its columns."""
+    return keep_ids(docs, id_col, near_dedup(docs, id_col, text_col).where("kept").select("doc_id"))
+
+
 ORACLE_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
