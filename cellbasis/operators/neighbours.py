@@ -17,9 +17,10 @@ from cellbasis.functions.refusals import BasisRefusal, length
 _SHIFT = 1 << 31  # above every flat index: the ceiling on cells is far below
 
 
-def offsets(radius: int) -> list[tuple[int, int, int]]:
-    """(squared distance, row, col) offsets within `radius` cells, nearest first."""
-    out = [(r * r + c * c, r, c) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1)]
+def offsets(radius: float) -> list[tuple[int, int, int]]:
+    """(squared distance, row, col) offsets within `radius` cells, which need not be whole, nearest first."""
+    whole = math.floor(radius)
+    out = [(r * r + c * c, r, c) for r in range(-whole, whole + 1) for c in range(-whole, whole + 1)]
     return sorted(o for o in out if o[0] <= radius * radius)
 
 
@@ -31,7 +32,7 @@ def _exploded(cells: DataFrame, some: list[tuple[int, int, int]], grid: Grid) ->
     return out.where((F.col("trow") >= 0) & (F.col("trow") < grid.n_rows) & (F.col("tcol") >= 0) & (F.col("tcol") < grid.n_cols)).drop("dr", "dc")
 
 
-def nearest_within(sources: DataFrame, grid: Grid, radius: int) -> DataFrame:
+def nearest_within(sources: DataFrame, grid: Grid, radius: float) -> DataFrame:
     """For each cell within `radius` cells of a source: (row, col, d2, src_row, src_col) of the nearest one."""
     flat = F.col("row").cast("long") * grid.n_cols + F.col("col")
     spread = _exploded(sources.select("row", "col"), offsets(radius), grid)
@@ -81,11 +82,11 @@ def nearest_fill(cells: DataFrame, grid: Grid, value: str) -> DataFrame:
     return knn_fill(cells, grid, value, k=1)
 
 
-def reach(distance: float, cell: float) -> int:
-    """Whole cells that a distance in metres spans."""
+def reach(distance: float, cell: float) -> float:
+    """Cells that a distance in metres spans, with room for rounding: `within` has the last word."""
     length("distance", distance, BasisRefusal, zero=True)
     length("cell", cell, BasisRefusal)
-    return math.floor(distance / cell)
+    return distance / cell + 1e-6
 
 
 def within(d2: Column, cell: float, distance: float) -> Column:
