@@ -149,6 +149,50 @@ _PLANE = """fits AS (
     GROUP BY a."row", a.col))"""
 _RESIDUAL = "sqrt(greatest(0, szz - (sxz * (sxz * syy - syz * sxy) + syz * (syz * sxx - sxz * sxy)) / det) / n)"
 
+_VERIFIED = "points AS (SELECT * FROM (VALUES ('riser', 12.1, 60.2), ('tread', 6.3, 60.2), ('second riser', 24.2, 33.3), ('edge', 0.4, 0.4), ('outside', -5.0, 10.0)) v(name, x, y))"
+
+_CLUSTERS = (
+    *_RISERS,
+    """placed AS (
+  SELECT direction, "row", col, height, round_even(CAST((col + 0.5) * 0.5 AS DOUBLE), 2) AS x, round_even(CAST(120 - ("row" + 0.5) * 0.5 AS DOUBLE), 2) AS y,
+         CASE direction WHEN 'row' THEN 0 WHEN 'col' THEN 1 WHEN 'diag' THEN 2 ELSE 3 END * 57600 + "row" * 240 + col AS seq FROM risers)""",
+    # each round the best of what is left stays and takes its neighbours with it
+    """rounds AS (
+  SELECT 0 AS round, *, first_value(seq) OVER (ORDER BY height DESC, seq) AS best, first_value(x) OVER (ORDER BY height DESC, seq) AS cx, first_value(y) OVER (ORDER BY height DESC, seq) AS cy FROM placed
+  UNION ALL
+  SELECT round + 1, direction, "row", col, height, x, y, seq, first_value(seq) OVER (ORDER BY height DESC, seq), first_value(x) OVER (ORDER BY height DESC, seq), first_value(y) OVER (ORDER BY height DESC, seq)
+  FROM rounds WHERE (x - cx) ** 2 + (y - cy) ** 2 > 25)""",
+)
+
+
+def _fill(source: str, out: str, r: int) -> tuple[str, str]:
+    """Each void gets the mean of its eight nearest values."""
+    return (
+        f"""{out}_near AS (SELECT v."row", v.col, c.z, row_number() OVER (PARTITION BY v."row", v.col ORDER BY dr * dr + dc * dc, c."row", c.col) AS k
+  FROM {source} v, range(-{r}, {r + 1}) i(dr), range(-{r}, {r + 1}) j(dc), {source} c WHERE v.z IS NULL AND c.z IS NOT NULL AND c."row" = v."row" + dr AND c.col = v.col + dc)""",
+        f"""{out} AS (SELECT s."row", s.col, coalesce(s.z, m.z) AS z FROM {source} s LEFT JOIN (SELECT "row", col, avg(z) AS z FROM {out}_near WHERE k <= 8 GROUP BY ALL) m USING ("row", col))""",
+    )
+
+
+_RADII = range(1, 19)
+_SMRF = (
+    *_fill("coarse", "f1", 24),
+    *(part for k in _RADII for part in _open("f1", f"o{k}", k, _ball(k))),
+    'neg AS (SELECT "row", col, -z AS z FROM f1)',
+    *_open("neg", "n1", 1, _ball(1)),
+    'cut AS (SELECT "row", col, CASE WHEN NOT (abs(neg.z - n1.z) > 5'
+    + "".join(f" OR abs({'f1' if k == 1 else f'o{k - 1}'}.z - o{k}.z) > CAST(0.15 AS DOUBLE) * {k}" for k in _RADII)
+    + ') THEN f1.z END AS z FROM f1 JOIN neg USING ("row", col) JOIN n1 USING ("row", col) '
+    + " ".join(f'JOIN o{k} USING ("row", col)' for k in _RADII)
+    + ")",
+    *_fill("cut", "dem", 40),
+    """slopes AS (
+  SELECT m."row", m.col, m.z, CASE WHEN m.col = 0 THEN e.z - m.z WHEN m.col = 119 THEN m.z - w.z ELSE (e.z - w.z) / 2 END AS gx,
+         CASE WHEN m."row" = 0 THEN s.z - m.z WHEN m."row" = 119 THEN m.z - n.z ELSE (s.z - n.z) / 2 END AS gy
+  FROM dem m LEFT JOIN dem e ON e."row" = m."row" AND e.col = m.col + 1 LEFT JOIN dem w ON w."row" = m."row" AND w.col = m.col - 1
+  LEFT JOIN dem s ON s."row" = m."row" + 1 AND s.col = m.col LEFT JOIN dem n ON n."row" = m."row" - 1 AND n.col = m.col)""",
+)
+
 _EVENT_JSON = "CAST(json_extract(props, '$.k') AS DOUBLE)"
 
 SQL: dict[str, str] = {
@@ -266,6 +310,15 @@ UNPIVOT (value FOR band IN (mdt, mds, chm, basis, n_all, n_ground))""",
     "plane_residual": _with(_DENSE, *_steps("min_z"), "picked AS (SELECT * FROM steps WHERE step > 6.5 AND n >= 12)", _PLANE) + f'SELECT "row", col, round({_RESIDUAL}, 6) AS residual FROM fits',
     "sharp_steps": _with(_DENSE, *_steps("min_z_ground"), "picked AS (SELECT * FROM steps WHERE step > 1.5)", _PLANE)
     + f"SELECT (SELECT count(*) FROM picked) AS candidates, count(*) FILTER (n >= 4 AND det > 1e-9 AND {_RESIDUAL.replace('/ det', '/ CASE WHEN det > 1e-9 THEN det END')} >= 0.3) AS population FROM fits",
+    "verified_hits": _with(_DENSE, *_steps("min_z_ground"), "picked AS (SELECT * FROM steps WHERE step > 1.5)", _PLANE, _VERIFIED,
+        f"""population AS (SELECT "row", col FROM fits WHERE n >= 4 AND det > 1e-9 AND {_RESIDUAL.replace('/ det', '/ CASE WHEN det > 1e-9 THEN det END')} >= 0.3)""",
+        "named AS (SELECT name, CAST(floor((120 - y) / 0.5) AS INT) AS prow, CAST(floor(x / 0.5) AS INT) AS pcol FROM points)",
+        "i AS (SELECT *, prow >= 4 AND pcol >= 4 AND prow < 236 AND pcol < 236 AS inside FROM named)")
+    + """SELECT name, prow, pcol, inside, inside AND EXISTS (SELECT 1 FROM population p WHERE (p."row" - prow) ** 2 + (p.col - pcol) ** 2 <= 16) AS found FROM i""",
+    "riser_clusters": _with(_DENSE, *_CLUSTERS, recursive=True) + 'SELECT direction, "row", col, height, x, y FROM rounds WHERE seq = best',
+    "smrf_full": _with((*_DENSE, "blocks", "cgrid", "coarse"), *_SMRF)
+    + """SELECT d."row", d.col, coalesce(abs(s.z - CAST(d.min_z AS DOUBLE)) <= 0.5 + 1.25 * sqrt(s.gx * s.gx + s.gy * s.gy), false) AS is_ground
+FROM dense d JOIN slopes s ON s."row" = d."row" // 2 AND s.col = d.col // 2""",
     "relief_lags": _with(_DENSE, 'line AS (SELECT "row", col, CAST(min_z_ground AS DOUBLE) AS z FROM dense)', _PROFILES, "lags AS (SELECT CAST(unnest(range(1, 5)) AS INT) AS lag)")
     + """SELECT a.direction, lag, coalesce(max(abs(b.z - a.z)), 0) AS dz FROM profiles a CROSS JOIN lags LEFT JOIN profiles b ON b.direction = a.direction AND b.profile = a.profile AND b.pos = a.pos + lag
 WHERE lag <= floor(2 / a.h) GROUP BY a.direction, lag""",
