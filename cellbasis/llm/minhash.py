@@ -3,13 +3,13 @@
 A document's set is its distinct five-word shingles; equal sets share one representative. Every representative
 enters the root of each tree and follows, at each node, the branches of two selected minwise tokens. Two sets of
 similarity J select the same token with probability J, so they stay together along some path of a tree with a
-probability of about 0.89 at J = 0.75 whatever the depth, and in one of five trees with one of 0.9999.
+probability of about 0.89 at J = 0.75 whatever the depth, and in one of five trees with one above 0.9999.
 
-Nodes of at most `leaf` members are compared exhaustively, on the full sets, by counting shared shingles in a
-matrix product. What is still larger at the last level is compared exactly too: in blocks, each with the node's
-pivots; then whatever is not in the component that holds most of the node is compared with all blocks of it.
-Links between members of one component need no comparison. Components come from alternating large and
-small stars.
+Nodes of at most `leaf` members are compared exhaustively, on the full sets. The first tree's links are joined
+into components before the other trees grow: links within a component add nothing, so a node with one component is
+dropped, and a large node that one component holds most of is compared exactly there and then, its other members
+against blocks of all of it. So is, in the end, every node that the last level leaves too large; nothing is capped.
+Components come from alternating large and small stars.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ SHINGLE = 5
 PERCENT = 75
 TREES = 5
 BRANCHES = 2
+ROOTS = TREES * BRANCHES
 LEVELS = 4
-LEAF = 512
+LEAF = 1024
+FEW_BLOCKS = 4  # blocks of members outside a node's largest component that may meet all its blocks before it is branched
 SIGNATURE = 48  # minwise tokens of a set: one for each branch of the roots, the others shared by all deeper nodes
 NULL_ID = (1 << 63) - 1
 
@@ -78,6 +80,37 @@ def _features(k: int):
     return run
 
 
+def _common(number: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many tokens each two of n sets share, from (token number, owner) sorted by token: by a matrix product where many
+    sets share each token, else by counting pairs token by token; in slices of bounded size either way."""
+    out = np.zeros((n, n))
+    if not len(number):
+        return out
+    held = np.bincount(number)
+    pairs = held.astype(np.int64) ** 2
+    if n * n * len(held) < 40 * int(pairs.sum()):
+        wide = max(256, (4 << 20) // n)
+        for first in range(0, len(held), wide):
+            a, b = np.searchsorted(number, [first, first + wide])
+            part = np.zeros((n, min(wide, len(held) - first)), dtype=np.float32)
+            part[owner[a:b], number[a:b] - first] = 1
+            out += part @ part.T
+        return out
+    ends = np.cumsum(held)
+    done = np.cumsum(pairs)
+    first = 0
+    while first < len(held):
+        last = max(first + 1, int(np.searchsorted(done, (done[first - 1] if first else 0) + (4 << 20), side="right")))
+        a, b = int(ends[first] - held[first]), int(ends[last - 1])
+        times = held[number[a:b]]  # each member of a token meets all its members
+        left = np.repeat(owner[a:b], times)
+        begin = np.repeat(ends[number[a:b]] - times, times)
+        right = owner[begin + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)]
+        out += np.bincount(left * n + right, minlength=n * n).reshape(n, n)
+        first = last
+    return out
+
+
 def linked(sets: list[np.ndarray], percent: int, query: np.ndarray | None = None) -> np.ndarray:
     """Which pairs of `sets` have 100 * intersection >= percent * union, from full sets; with `query`, only pairs with one."""
     n = len(sets)
@@ -91,13 +124,7 @@ def linked(sets: list[np.ndarray], percent: int, query: np.ndarray | None = None
     number = np.cumsum(new) - 1
     shared = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, dtype=bool)
     number, owner = np.cumsum(new[shared]) - 1, owner[shared]
-    common = np.zeros((n, n))
-    wide = max(256, (4 << 20) // n)
-    for first in range(0, int(number[-1]) + 1 if len(number) else 0, wide):
-        a, b = np.searchsorted(number, [first, first + wide])
-        part = np.zeros((n, int(number[b - 1]) - first + 1), dtype=np.float32)
-        part[owner[a:b], number[a:b] - first] = 1
-        common += part @ part.T
+    common = _common(number, owner, n)
     out = (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (sizes[:, None] > 0) & (sizes[None, :] > 0)
     if query is not None:
         out &= query[:, None] | query[None, :]
@@ -153,7 +180,8 @@ def _compare(docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFram
             yield _set_batch(out)
 
     by_id = rows.groupBy("id").agg(F.collect_list(F.struct("node", "query")).alias("nodes"))
-    texts = docs.join(by_id, "id").select("id", "text", "nodes")
+    # merged at every size: how many documents are in some node is not known beforehand, and may be most
+    texts = docs.join(by_id.hint("merge"), "id").select("id", "text", "nodes")
     shipped = texts.mapInArrow(sets, "node long, id long, query boolean, tokens binary")
     return written(shipped.groupBy("node").applyInArrow(_leaf(percent), "a long, b long").distinct(), "links")
 
@@ -165,10 +193,49 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sized(rows: DataFrame, name: str) -> DataFrame:
-    """`rows` (node, ...) of nodes with more than one row, with the node's number of rows as n."""
+    """`rows` (node, id, component) of nodes with members of more than one component, with the node's number of rows as n."""
     total = rows.count()
-    sizes = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"{name}-sizes")
-    return attach(rows, sizes, "node", "n", total, F.col("id")).where("n is not null")
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("__a"), F.max("component").alias("__b"))
+    sizes = written(sizes.where("__a != __b").select("node", "n"), f"{name}-sizes")
+    return written(attach(rows, sizes, "node", "n", total, F.col("id")).where("n is not null"), name)
+
+
+def _grow(reps: DataFrame, roots: range, levels: int, leaf: int, joined: bool) -> tuple[DataFrame, DataFrame]:
+    """Follow the branches of some roots of `reps` (id, signature, component): the rows (node, id, n, component) of leaves, and
+    those of larger nodes to be compared in blocks.
+
+    Nodes whose members are of one component are dropped where they appear. Where components have been `joined` before, a
+    node goes to the blocks as soon as few enough members are outside its largest component for that to cost no
+    more than a few copies of the node; all that are still too large after the last level go there.
+    """
+    chosen = [F.struct(F.xxhash64(F.lit(i), F.element_at("signature", i + 1)).alias("node")) for i in roots]
+    rows = reps.select("id", "component", F.explode(F.array(*chosen)).alias("c")).select(F.col("c.node").alias("node"), "id", "component")
+    columns = ["node", "id", "n", "component"]
+    leaves, dense, current = [], [], _sized(rows, "nodes")
+    for level in range(2, levels + 2):
+        leaves.append(current.where(F.col("n") <= leaf).select(*columns))
+        current = current.where(F.col("n") > leaf)
+        if level > levels or current.isEmpty():
+            dense.append(current.select(*columns))
+            break
+        if joined:
+            shares = current.groupBy("node", "component").agg(F.count(F.lit(1)).alias("size"))
+            few = shares.groupBy("node").agg((F.sum("size") - F.max("size")).alias("outside")).where(F.col("outside") <= FEW_BLOCKS * (leaf // 2)).select("node")
+            few = written(few, "dense-nodes")
+            dense.append(current.join(few, "node", "left_semi").select(*columns))
+            current = current.join(few, "node", "left_anti")
+        place = lambda j: (F.lit(ROOTS + 1) + F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SIGNATURE - ROOTS))).cast("int")
+        steps = [F.xxhash64("node", F.lit(j), F.element_at("signature", place(j))) for j in range(BRANCHES)]
+        branched = current.join(reps.select("id", "signature"), "id").select("id", "component", F.explode(F.array(*steps)).alias("node"))
+        current = _sized(written(branched, f"level-{level}"), f"level-{level}")
+    return _all(leaves), _all(dense)
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,37 +259,50 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def _crowded(docs: DataFrame, rows: DataFrame, links: DataFrame, leaf: int, k: int, percent: int) -> DataFrame:
-    """All links that matter in nodes too large for a leaf, exactly."""
-    half = max(1, leaf // 2)
+def _in_blocks(rows: DataFrame, half: int) -> DataFrame:
+    """`rows` (node, id, n) dealt into blocks of about `half` members."""
     blocks = F.ceil(F.col("n") / half).cast("int")
-    placed = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), blocks).cast("int"))
-    pivots = rows.groupBy("node").agg(F.max("n").alias("n"), F.array_distinct(F.array(F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id")), F.max_by("id", F.xxhash64("id")))).alias("ids"))
-    pivots = pivots.withColumn("blocks", blocks).select("node", "blocks", F.explode("ids").alias("id"))
-    pivots = pivots.select("node", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    here = placed.select("node", "id", "block").unionByName(pivots).distinct()
-    first = _compare(docs, here.select(F.xxhash64("node", "block").alias("node"), "id", F.lit(False).alias("query")), k, percent)
-    known = components(links.unionByName(first))
-    # members outside the component that holds most of the node are compared with every block of it
-    labelled = placed.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    shares = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("size"))
+    return rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), blocks).cast("int"))
+
+
+def _block_groups(rows: DataFrame, half: int) -> DataFrame:
+    """Groups (node, id, query) that compare within blocks of large nodes, each block with the node's pivots: most of a dense
+    node is joined by these."""
+    picks = F.array_distinct(F.array(F.min("id"), F.max("id"), F.min_by("id", F.xxhash64("id")), F.max_by("id", F.xxhash64("id"))))
+    pivots = rows.groupBy("node").agg(F.max("n").alias("n"), picks.alias("ids")).withColumn("blocks", F.ceil(F.col("n") / half).cast("int"))
+    pivots = pivots.select("node", "blocks", F.explode("ids").alias("id")).select("node", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    here = _in_blocks(rows, half).select("node", "id", "block").unionByName(pivots).distinct()
+    return here.select(F.xxhash64("node", "block").alias("node"), "id", F.lit(False).alias("query"))
+
+
+def _outside_groups(rows: DataFrame, half: int) -> DataFrame:
+    """Groups (node, id, query) that find all links of large nodes (node, id, n, component) between members of different
+    components, exactly: the members outside the component that holds most of a node are compared with every block of it."""
+    placed = _in_blocks(rows, half)
+    shares = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("size"))
     most = shares.groupBy("node").agg(F.max_by("component", "size").alias("most"))
-    outside = written(labelled.join(most, "node").where("component != most").select("node", "id", "blocks"), "outside")
-    if outside.isEmpty():
-        return first
-    parts = outside.groupBy("node").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / half).cast("int")).select("node", "parts")
+    outside = written(placed.join(most, "node").where("component != most").select("node", "id", "blocks"), "outside")
+    parts = outside.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("parts"))
     asked = outside.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("node", "id", F.lit(1)), F.col("parts")).cast("int"))
     asked = asked.select("node", "id", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     others = placed.join(parts, "node").select("node", "id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     cell = F.xxhash64("node", "block", "part", F.lit(2)).alias("node")
-    rows = asked.select(cell, "id", F.lit(True).alias("query")).unionByName(others.select(cell, "id", F.lit(False).alias("query")))
-    rows = rows.groupBy("node", "id").agg(F.max("query").alias("query"))
-    return first.unionByName(_compare(docs, rows, k, percent))
+    cells = asked.select(cell, "id", F.lit(True).alias("query")).unionByName(others.select(cell, "id", F.lit(False).alias("query")))
+    return cells.groupBy("node", "id").agg(F.max("query").alias("query"))
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """`rows` (node, id, ...) as (node, id, query) without nodes that have the same members as another."""
+    prints = rows.groupBy("node").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"), F.count(F.lit(1)).alias("n"))
+    once = prints.groupBy("print", "n").agg(F.min("node").alias("node")).select("node")
+    return rows.join(once, "node", "left_semi").select("node", "id", F.lit(False).alias("query"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, trees: int = TREES, levels: int = LEVELS, leaf: int = LEAF) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (the smallest id reachable by links), kept.
 
+    `trees` is from 2 to TREES, for which the signatures have room.
+
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. Null texts and texts without words
     have empty sets and no links. A null id ranks behind every id (rows with null ids count as one document, whose
     component is null unless it has a smaller id). Rows that share an id count as one document with the links of all its
@@ -239,36 +319,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = written(members.select("id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("signature")).alias("signature")), "members")
     reps = members.where("signature is not null and n_shingles > 0").select("id", "signature")
 
-    roots = trees * BRANCHES
-    chosen = [F.struct(F.xxhash64(F.lit(i), F.element_at("signature", i + 1)).alias("node")) for i in range(roots)]
-    rows = reps.select("id", F.explode(F.array(*chosen)).alias("c")).select(F.col("c.node").alias("node"), "id")
-    leaves, current = [], written(_sized(rows, "nodes"), "nodes")
-    for level in range(2, levels + 1):
-        leaves.append(current.where(F.col("n") <= leaf).select("node", "id"))
-        large = current.where(F.col("n") > leaf)
-        if large.isEmpty():
-            current = large
-            break
-        if "signature" not in large.columns:
-            large = large.join(reps, "id")
-        place = lambda j: F.lit(roots + 1) + F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SIGNATURE - roots)).cast("int")
-        steps = [F.xxhash64("node", F.lit(j), F.element_at("signature", place(j).cast("int"))) for j in range(BRANCHES)]
-        large = large.select("id", "signature", F.explode(F.array(*steps)).alias("node"))
-        current = written(_sized(large.select("node", "id", "signature"), f"level-{level}"), f"level-{level}")
-    else:
-        leaves.append(current.where(F.col("n") <= leaf).select("node", "id"))
-        current = current.where(F.col("n") > leaf)
-
-    rows = leaves[0]
-    for more in leaves[1:]:
-        rows = rows.unionByName(more)
-    # leaves with the same members need one comparison
-    prints = rows.groupBy("node").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("print"), F.count(F.lit(1)).alias("n"))
-    once = prints.groupBy("print", "n").agg(F.min("node").alias("node")).select("node")
-    links = _compare(plain, rows.join(once, "node", "left_semi").withColumn("query", F.lit(False)), shingle, percent)
-    if not current.isEmpty():
-        links = links.unionByName(_crowded(plain, current.select("node", "id", "n"), links, leaf, shingle, percent))
-    found = components(links)
+    # the first tree alone, then the others over what it has joined: texts are read and dealt out once for each
+    half = max(1, leaf // 2)
+    leaves, crowded = _grow(reps.withColumn("component", F.col("id")), range(BRANCHES), levels, leaf, False)
+    found = components(_compare(plain, _once(leaves).unionByName(_block_groups(crowded, half)), shingle, percent))
+    label = lambda rows: rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    leaves, dense = _grow(written(label(reps), "labelled"), range(BRANCHES, trees * BRANCHES), levels, leaf, True)
+    dense = dense.unionByName(label(crowded.drop("component")).select(*dense.columns))
+    links = _compare(plain, _once(leaves).unionByName(_outside_groups(dense, half)), shingle, percent)
+    found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
     groups = written(found.join(sizes, found["id"] == sizes["rep"]).select("rep", "component", "size"), "components")
     out = attach(members.select("id", "n_shingles", "rep"), groups, "rep", "size", members.count(), F.col("id"))
