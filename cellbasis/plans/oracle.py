@@ -56,13 +56,20 @@ def _with(parts: tuple[str, ...], *more: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join([*(_PARTS[p] for p in parts), *more]) + "\n"
 
 
-def _window(source: str, out: str, r: int, aggs: str, shape: str = "true", keep: str = "") -> str:
+def _around(source: str, r: int, where: str = "true") -> str:
+    """Each cell of a source once for each offset, as a; the key f names the place it looks at."""
+    return f"""(SELECT s."row", s.col, dr * dr + dc * dc AS d2, (s."row" + dr) * 1000 + s.col + dc AS f FROM {source} s, range(-{r}, {r + 1}) i(dr), range(-{r}, {r + 1}) j(dc) WHERE {where}) a"""
+
+
+def _placed(source: str, where: str = "true") -> str:
+    """The cells of a source under the key of their place, as b."""
+    return f"""(SELECT *, "row" * 1000 + col AS f FROM {source} WHERE {where}) b"""
+
+
+def _window(source: str, out: str, r: int, aggs: str, shape: str = "true") -> str:
     """A stencil by joining each cell with the cells around it."""
     return f"""{out} AS (
-  SELECT a."row", a.col{keep and ", " + keep}, {aggs}
-  FROM {source} a, range(-{r}, {r + 1}) i(dr), range(-{r}, {r + 1}) j(dc), {source} b
-  WHERE b."row" = a."row" + dr AND b.col = a.col + dc AND {shape}
-  GROUP BY a."row", a.col{keep and ", " + keep})"""
+  SELECT a."row", a.col, {aggs} FROM {_around(source, r, shape)} JOIN {_placed(source)} ON a.f = b.f GROUP BY a."row", a.col)"""
 
 
 def _open(source: str, out: str, r: int, shape: str = "true") -> tuple[str, str]:
@@ -144,8 +151,9 @@ _PLANE = """fits AS (
   SELECT "row", col, n, sxx, sxy, syy, sxz, syz, szz, sxx * syy - sxy * sxy AS det FROM (
     SELECT a."row", a.col, count(*) AS n, covar_pop(x, x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy, covar_pop(y, y) * count(*) AS syy,
            covar_pop(x, z) * count(*) AS sxz, covar_pop(y, z) * count(*) AS syz, covar_pop(z, z) * count(*) AS szz
-    FROM (SELECT t."row", t.col, dc * CAST(0.5 AS DOUBLE) AS x, dr * CAST(0.5 AS DOUBLE) AS y, s.z
-          FROM picked t, range(-3, 4) i(dr), range(-3, 4) j(dc), src s WHERE s."row" = t."row" + dr AND s.col = t.col + dc AND s.z IS NOT NULL) a
+    FROM (SELECT t."row", t.col, t.x, t.y, s.z
+          FROM (SELECT "row", col, dc * CAST(0.5 AS DOUBLE) AS x, dr * CAST(0.5 AS DOUBLE) AS y, ("row" + dr) * 1000 + col + dc AS f FROM picked, range(-3, 4) i(dr), range(-3, 4) j(dc)) t
+          JOIN (SELECT "row" * 1000 + col AS f, z FROM src WHERE z IS NOT NULL) s ON s.f = t.f) a
     GROUP BY a."row", a.col))"""
 _RESIDUAL = "sqrt(greatest(0, szz - (sxz * (sxz * syy - syz * sxy) + syz * (syz * sxx - sxz * sxy)) / det) / n)"
 
@@ -168,8 +176,8 @@ _CLUSTERS = (
 def _fill(source: str, out: str, r: int) -> tuple[str, str]:
     """Each void gets the mean of its eight nearest values."""
     return (
-        f"""{out}_near AS (SELECT v."row", v.col, c.z, row_number() OVER (PARTITION BY v."row", v.col ORDER BY dr * dr + dc * dc, c."row", c.col) AS k
-  FROM {source} v, range(-{r}, {r + 1}) i(dr), range(-{r}, {r + 1}) j(dc), {source} c WHERE v.z IS NULL AND c.z IS NOT NULL AND c."row" = v."row" + dr AND c.col = v.col + dc)""",
+        f"""{out}_near AS (SELECT a."row", a.col, b.z, row_number() OVER (PARTITION BY a."row", a.col ORDER BY a.d2, b."row", b.col) AS k
+  FROM {_around(source, r, "s.z IS NULL")} JOIN {_placed(source, "z IS NOT NULL")} ON a.f = b.f)""",
         f"""{out} AS (SELECT s."row", s.col, coalesce(s.z, m.z) AS z FROM {source} s LEFT JOIN (SELECT "row", col, avg(z) AS z FROM {out}_near WHERE k <= 8 GROUP BY ALL) m USING ("row", col))""",
     )
 
@@ -243,8 +251,7 @@ LEFT JOIN coarse s ON s."row" = m."row" + 1 AND s.col = m.col LEFT JOIN coarse n
     "pmf_ground": _with(
         _DENSE,
         "void AS (SELECT \"row\", col FROM dense WHERE min_z IS NULL)",
-        """hit AS (SELECT v."row", v.col, min((dr * dr + dc * dc) * 100000000 + c."row" * 240 + c.col) AS best
-  FROM void v, range(-24, 25) i(dr), range(-24, 25) j(dc), cells c WHERE c."row" = v."row" + dr AND c.col = v.col + dc GROUP BY ALL)""",
+        f"""hit AS (SELECT a."row", a.col, min(a.d2 * 100000000 + b."row" * 240 + b.col) AS best FROM {_around("void", 24)} JOIN {_placed("cells")} ON a.f = b.f GROUP BY ALL)""",
         """fill AS (SELECT d."row", d.col, CAST(coalesce(d.min_z, s.min_z) AS DOUBLE) AS z FROM dense d LEFT JOIN hit ON hit."row" = d."row" AND hit.col = d.col
   LEFT JOIN cells s ON s."row" = (hit.best % 100000000) // 240 AND s.col = (hit.best % 100000000) % 240)""",
         *_open("fill", "o1", 1), *_open("o1", "o2", 2), *_open("o2", "o4", 4),
@@ -261,13 +268,7 @@ FROM dense d JOIN fill USING ("row", col) JOIN o1 USING ("row", col) JOIN o2 USI
 FROM cfilled c JOIN o1 USING ("row", col) JOIN o2 USING ("row", col) JOIN o3 USING ("row", col)"""
     ),
     "progressive_chunked": _progressive,
-    "knn_fill": _with(
-        _COARSE,
-        """near AS (SELECT v."row", v.col, c.z, row_number() OVER (PARTITION BY v."row", v.col ORDER BY (c."row" - v."row") ** 2 + (c.col - v.col) ** 2, c."row", c.col) AS k
-  FROM coarse v, range(-20, 21) i(dr), range(-20, 21) j(dc), coarse c WHERE v.z IS NULL AND c.z IS NOT NULL AND c."row" = v."row" + dr AND c.col = v.col + dc)""",
-        'mean AS (SELECT "row", col, avg(z) AS z FROM near WHERE k <= 8 GROUP BY ALL)',
-    )
-    + 'SELECT c."row", c.col, coalesce(c.z, m.z) AS z FROM coarse c LEFT JOIN mean m USING ("row", col)',
+    "knn_fill": _with(_COARSE, *_fill("coarse", "filled_in", 20)) + "SELECT * FROM filled_in",
     "nearest_basis": _with(_BASED, *_nearest("2.0")) + 'SELECT "row", col, CAST(basis AS INT) AS basis, src_row, src_col FROM based',
     "surfaces": _with(_BASED, *_SURFACES) + "SELECT * REPLACE (CAST(basis AS INT) AS basis) FROM bands",
     "honesty": _with(_BASED, *_nearest("2.0"))
