@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cellbasis.llm.common import attach, ready, written
 
 NULL_ID = (1 << 63) - 1
+SHARE = 256  # pairs that one copy of a first holder's lines serves
 _BLANK = " \t\x0b\x0c\r"
 SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string"
 
@@ -131,11 +132,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = keyed.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     pairs = attach(held, holders, "line", "n", total, F.col("row")).where("first < doc").select("row", "first").distinct()
     pairs = written(pairs, "line-pairs")
-    # the earlier documents' lines, one array an id; a first holder of a line that a third of all have gets as many pairs
-    firsts = pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
-    earlier = keyed.select(F.col("doc").alias("first"), "lines").join(firsts, "first").groupBy("first").agg(F.min("lines").alias("earlier"), F.max("n").alias("n"))
+    # the earlier documents' lines, one array an id; a first holder with many pairs is copied once for each share of them
+    firsts = written(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("pairs")).withColumn("shares", F.ceil(F.col("pairs") / SHARE).cast("int")), "firsts")
+    earlier = keyed.select(F.col("doc").alias("first"), "lines").join(firsts, "first").groupBy("first").agg(F.min("lines").alias("earlier"), F.max("shares").alias("shares"))
+    earlier = earlier.select("first", "earlier", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     later = keyed.select("row", F.col("lines").alias("later")).dropDuplicates(["row"])
-    both = pairs.join(later, "row").join(earlier.select("first", "earlier"), "first")
+    dealt = attach(pairs, firsts, "first", "pairs", pairs.count(), F.col("row")).withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int"))
+    both = dealt.select("row", "first", "share").join(later, "row").join(earlier, ["first", "share"])
     gone = both.select("row", "earlier", "later").mapInArrow(_aligned, "row long, gone array<int>")
     gone = gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     return plain.withColumn("row", F.xxhash64("doc_id", "text")).join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(_cut, SCHEMA)
