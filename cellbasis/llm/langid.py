@@ -39,6 +39,7 @@ class Model:
     codes: np.ndarray  # symbol of each code point below _LIMIT: 0 not a letter, 1.. letters of the samples, then one for the rest
     symbols: int  # all symbols, padding included
     tables: list[np.ndarray]  # next state * symbols by state * symbols + symbol; negative: ~ of it, after a phrase's end
+    lacking: list[np.ndarray]  # symbols that the sample lacks, each of which is a phrase
     bits: list[float]  # bits that a phrase costs
 
 
@@ -93,21 +94,25 @@ def train(samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS) -> Mode
     for i, c in enumerate(seen):
         codes[ord(c)] = i + 1
     symbols = len(seen) + 3  # none, letters, other letters, padding
-    tables, bits = [], []
+    tables, lacking, bits = [], [], []
     for lang in langs:
         text = np.concatenate([np.zeros(1, dtype=np.int32), *(_symbols(t + " ", codes) for t in samples[lang])])[:train_chars]
         step, _ = suffix_automaton(text.tolist())
-        root = np.full(symbols, ~0, dtype=np.int32)
+        root = np.full(symbols, ~0, dtype=np.int32)  # a symbol that the sample lacks ends a phrase and is one
         for c, to in step[0].items():
             root[c] = ~(to * symbols)
         table = np.tile(root, (len(step), 1))
         for state, row in enumerate(step):
             for c, to in row.items():
                 table[state, c] = to * symbols
-        table[:, symbols - 1] = 0
+        table[0, table[0] == ~0] = 0
+        table[:, symbols - 1] = np.arange(len(step), dtype=np.int32) * symbols  # padding leaves the state
+        unseen = np.ones(symbols, dtype=bool)
+        unseen[[*step[0], symbols - 1]] = False
+        lacking.append(unseen)
         tables.append(table.reshape(-1))
         bits.append(float(np.log2(len(text) + 1)))
-    return Model(langs, codes, symbols, tables, bits)
+    return Model(langs, codes, symbols, tables, lacking, bits)
 
 
 def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +137,9 @@ def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.
             sign = state >> 31
             ended -= sign
             state ^= sign
-        out[:, k] = np.bincount(owner, weights=ended + 1, minlength=len(texts)).astype(np.int64) if len(owner) else 0
+        ended += model.lacking[k][lanes].sum(axis=0, dtype=np.int32)
+        ended += state != 0
+        out[:, k] = np.bincount(owner, weights=ended, minlength=len(texts)).astype(np.int64) if len(owner) else 0
     return out, sizes, letters
 
 
