@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellbasis.functions.grid import Grid
+from cellbasis.functions.refusals import SelectionRefusal
 from cellbasis.operators.accumulate import cell_stats, dense
 from cellbasis.operators.basis import agreement, basis, honesty, surfaces
+from cellbasis.operators.catalogue import sorties, stamps_from_text
 from cellbasis.operators.ground import ProgressiveParams, progressive_ground
 from cellbasis.sinks.record import Input, record
 from cellbasis.sources.returns import checked, tile_facts
@@ -21,10 +23,21 @@ class Product:
     record: dict
 
 
-def run(returns: DataFrame, grid: Grid, attribution: str, boxes: DataFrame | None = None, digests: dict[str, str] | None = None, params: ProgressiveParams | None = None, least_returns: int = 1, distance: float = 2.0) -> Product:
-    """Check, fold, filter, label and gather. Agreement is absent as soon as one tile has no official ground at all."""
+def run(returns: DataFrame, grid: Grid, attribution: str, boxes: DataFrame | None = None, digests: dict[str, str] | None = None, params: ProgressiveParams | None = None, least_returns: int = 1, distance: float = 2.0, catalogue: dict[str, dict] | None = None) -> Product:
+    """Check, fold, filter, label and gather. Agreement is absent as soon as one tile has no official ground at all.
+
+    `catalogue`: by tile what the provider declares (point_count, flight_date, bbox); a tile that it lacks is refused, and its boxes
+    are those that returns must lie in. Without it the record leaves those figures out.
+    """
     params = params or ProgressiveParams()
     facts = tile_facts(returns).collect()  # one row a tile of one area
+    declared = catalogue or {}
+    missing = sorted(f["tile_id"] for f in facts if catalogue is not None and f["tile_id"] not in declared)
+    if missing:
+        raise SelectionRefusal(f"not in the selection: {', '.join(missing)}")
+    if boxes is None and any(d.get("bbox") for d in declared.values()):
+        rows = [(k, *map(float, d["bbox"])) for k, d in declared.items() if d.get("bbox")]
+        boxes = returns.sparkSession.createDataFrame(rows, "tile_id string, fminx double, fminy double, fmaxx double, fmaxy double")
     official = all(f["has_official_ground"] for f in facts)
     clean = checked(returns, boxes)
     cells = dense(cell_stats(clean, grid), grid).checkpoint()
@@ -33,9 +46,18 @@ def run(returns: DataFrame, grid: Grid, attribution: str, boxes: DataFrame | Non
     told = honesty(labelled, grid).first().asDict()
     agreed = agreement(labelled).first().asDict() if official else None
     area = lambda f: max((f["maxx"] - f["minx"]) * (f["maxy"] - f["miny"]), grid.cell**2)
-    inputs = [Input(f["tile_id"], f"{f['tile_id']}.las", (digests or {}).get(f["tile_id"], ""), f["n_points"], f["n_points"] / area(f), f["n_noise"]) for f in facts]
-    said = {**asdict(params), "k_min_returns": least_returns, "d_max_interp_m": distance}
+    say = lambda f, k: declared.get(f["tile_id"], {}).get(k)
+    inputs = [
+        Input(f["tile_id"], f"{f['tile_id']}.las", (digests or {}).get(f["tile_id"], ""), f["n_points"], f["n_points"] / area(f), f["n_noise"], say(f, "point_count"), say(f, "flight_date"))
+        for f in facts
+    ]
+    dates = sorted({i.flight_date for i in inputs if i.flight_date})
+    mixed = False
+    if dates:
+        stamped = stamps_from_text(returns.sparkSession.createDataFrame([(1, d) for d in dates], "k int, t string"), "t")
+        mixed = sorties(stamped, ["k"]).agg(F.max("sortie")).first()[0] > 0
+    said = {**asdict(params), "window": params.window_length, "k_min_returns": least_returns, "d_max_interp_m": distance}
     bands = surfaces(labelled)
     if not official:
         bands = bands.withColumn("n_ground", F.lit(-1).cast("int"))
-    return Product(bands, record(grid, said, inputs, told, agreed, attribution))
+    return Product(bands, record(grid, said, inputs, told, agreed, attribution, dates, mixed))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellbasis.functions.grid import Grid
 from cellbasis.functions.refusals import RenderRefusal
-from cellbasis.functions.scalars import NODATA_COUNT, NODATA_FLOAT
+from cellbasis.functions.scalars import NODATA_CODE, NODATA_COUNT, NODATA_FLOAT
 
 FLOATS, COUNTS = ("mdt", "mds", "chm"), ("n_all", "n_ground")
 BANDS = (*FLOATS, "basis", *COUNTS)
@@ -146,3 +146,44 @@ def style(stops: list[tuple[float, tuple[int, int, int], str]], paletted: bool)
         items = "".join(f'<item value="{v:g}" color="{hexed(c)}" alpha="255" label="{t}"/>' for v, c, t in stops)
         body = f'<rasterrenderer type="singlebandpseudocolor" band="1" opacity="1"><rastershader><colorrampshader colorRampType="INTERPOLATED">{items}</colorrampshader></rastershader></rasterrenderer>'
     return f'<qgis version="3.28" styleCategories="AllStyleCategories"><pipe>{body}</pipe></qgis>'
+
+
+def ramp(stops: list[tuple[float, tuple[int, int, int]]], count: int = 255) -> list[tuple[int, int, int]]:
+    """`count` colours between stops on 0 .. 1."""
+    at = np.linspace(0.0, 1.0, count)
+    where = [p for p, _ in stops]
+    return [tuple(int(v) for v in c) for c in np.stack([np.interp(at, where, [c[i] for _, c in stops]) for i in range(3)], axis=1)]
+
+
+# The stops of the ramps that bands are drawn with.
+GREYS = [(0.0, (0, 0, 0)), (1.0, (255, 255, 255))]
+EARTH = [(0.0, (51, 51, 153)), (0.15, (0, 153, 255)), (0.25, (0, 204, 102)), (0.5, (255, 255, 153)), (0.75, (128, 92, 84)), (1.0, (255, 255, 255))]
+GREENS = [(0.0, (247, 252, 245)), (0.5, (116, 196, 118)), (1.0, (0, 68, 27))]
+
+
+def draw(cells: DataFrame, grid: Grid, value: str, stops: list[tuple[float, tuple[int, int, int]]]) -> bytes:
+    """A palette image of one band, holes transparent; refused where the band has no value."""
+    if not cells.where(F.col(value).isNotNull()).take(1):
+        raise RenderRefusal("no valid cells to draw")
+    index = to_array(levels(cells.select("row", "col", value), value), grid, "level", np.uint8, 255)
+    return palette_png(index, [*ramp(stops), (0, 0, 0)], 255)
+
+
+def draw_basis(cells: DataFrame, grid: Grid) -> bytes:
+    """The basis band in its colours; unknown codes are refused."""
+    codes = {r[0] for r in cells.select("basis").distinct().limit(300).collect()}
+    if not codes <= set(BASIS_COLOURS):
+        raise RenderRefusal(f"unknown basis code(s) {sorted(codes - set(BASIS_COLOURS), key=str)}")
+    index = to_array(cells, grid, "basis", np.uint8, len(BASIS_COLOURS))
+    return palette_png(index, [*BASIS_COLOURS.values(), (0, 0, 0)], len(BASIS_COLOURS))
+
+
+def images(surfaces: DataFrame, grid: Grid, record: dict) -> dict[str, bytes]:
+    """The six bands as image files and the record, by file name, for areas that fit the driver."""
+    tags = {k: str(record[k]) for k in ("attribution", "reproducibility_hash", "package_version", "mixed_epochs")} | {"flight_dates": ", ".join(record["flight_dates"])}
+    out = {}
+    for band in BANDS:
+        kind, missing = (np.float32, NODATA_FLOAT) if band in FLOATS else (np.uint8, NODATA_CODE) if band == "basis" else (np.int32, NODATA_COUNT)
+        out[f"{band}.tif"] = tiff(to_array(surfaces, grid, band, kind, missing), grid, missing, tags | {"band": band})
+    out["record.json"] = json.dumps(record, indent=2, sort_keys=True, ensure_ascii=False).encode("utf-8")
+    return out

@@ -52,3 +52,26 @@ def record(
         "honesty": dict(honesty), "agreement": None if agreement is None else dict(agreement), "attribution": attribution, "uncalibrated_thresholds": sorted(uncalibrated),
         "known_limitations": list(limitations), "reproducibility_hash": hashlib.sha256(canonical(hashed).encode("utf-8")).hexdigest(),
     }
+
+
+def selection_document(selection, bounds: tuple[float, float, float, float]) -> str:
+    """A selection as JSON: bounds, coverage, stamps by sortie, tiles with their boxes and densities."""
+    tiles = [r.asDict() for r in selection.tiles.collect()]  # tiles of one area
+    groups: dict[int, set[str]] = {}
+    for t in tiles:
+        groups.setdefault(t["sortie"], set()).add(t.get("flight_date") or str(t["stamp"]))
+    listed = [
+        {k: t[k] for k in ("item_id", "href", "file_size", "point_count", "flight_date") if k in t}
+        | {"density": t["point_count"] / ((t["maxx"] - t["minx"]) * (t["maxy"] - t["miny"])), "bbox": [t["minx"], t["miny"], t["maxx"], t["maxy"]]}
+        for t in tiles
+    ]
+    doc = {
+        "aoi_bounds": list(bounds), "covered_fraction": selection.covered_fraction, "flight_dates": sorted(set().union(*groups.values())) if groups else [], "sorties": [sorted(groups[k]) for k in sorted(groups)],
+        "mixed_epochs": selection.mixed_epochs, "dropped_duplicates": selection.dropped, "tiles": listed,
+    }
+    return json.dumps(doc, indent=2, ensure_ascii=False)
+
+
+def append_lines(rows, path: str) -> None:
+    """Add the rows of a frame to a folder of JSON lines."""
+    rows.write.mode("append").json(path)
