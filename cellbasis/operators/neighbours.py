@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +52,13 @@ def _targets(cells: DataFrame, voids: DataFrame, radius: int, grid: Grid) -> Dat
     return spread.join(cells, (F.col("trow") == F.col("__r")) & (F.col("tcol") == F.col("__c"))).select("row", "col", "d2", "trow", "tcol", "__z")
 
 
-def knn_fill(cells: DataFrame, grid: Grid, value: str, k: int = 8, first_radius: int = 4) -> DataFrame:
+def knn_fill(cells: DataFrame, grid: Grid, value: str, k: int = 8, first_radius: int = 4, last_radius: int = 16, chunk: int = 128) -> DataFrame:
     """Dense `cells` with each NULL of `value` replaced by the mean of its k nearest known values (all, where there are fewer).
 
-    A void is settled once k known cells lie within the searched radius: everything nearer has been seen. The others go on to
-    twice the radius until it spans the grid. Without any known cell the frame comes back as it is. The number of
-    offsets is bounded by the radius at which the widest gap closes, not by the data.
+    A void is settled once k known cells lie within the searched radius: everything nearer has been seen. Most voids are small
+    and settle in equi-joins over offsets of at most `last_radius` cells. What is left lies inside wide gaps, and is searched
+    among the known cells near a void only, by chunks whose halo grows until all are settled. Without any known cell the
+    frame comes back as it is.
     """
     known = cells.where(F.col(value).isNotNull()).select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).cast("double").alias("__z"))
     n_known = known.count()
@@ -63,20 +66,79 @@ def knn_fill(cells: DataFrame, grid: Grid, value: str, k: int = 8, first_radius:
     if not n_known:
         return cells
     need, radius, found = min(k, n_known), first_radius, None
-    span = math.ceil(math.hypot(grid.n_rows, grid.n_cols))
     order = Window.partitionBy("row", "col").orderBy("d2", "trow", "tcol")
-    while True:
+    while radius <= last_radius:
         near = _targets(known, voids, radius, grid).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
-        done = near.groupBy("row", "col").agg(F.count(F.lit(1)).alias("got"), F.avg("__z").alias("__fill")).where(F.col("got") == need).select("row", "col", "__fill")
-        done = done.persist()
+        done = near.groupBy("row", "col").agg(F.count(F.lit(1)).alias("got"), F.avg("__z").alias("__fill")).where(F.col("got") == need).select("row", "col", "__fill").persist()
         found = done if found is None else found.unionByName(done)
         voids = voids.join(done, ["row", "col"], "left_anti").persist()
-        if radius >= span or voids.isEmpty():
+        if voids.isEmpty():
             break
         radius *= 2
+    else:
+        span = max(grid.n_rows, grid.n_cols)
+        rim, halo = _rim(cells, value, k), 2 * chunk
+        while True:
+            done = _in_chunks(rim, voids, need, min(halo, span), span, chunk).persist()
+            found = done if found is None else found.unionByName(done)
+            voids = voids.join(done, ["row", "col"], "left_anti").persist()
+            if halo >= span or voids.isEmpty():
+                break
+            halo *= 4
     return cells.join(found, ["row", "col"], "left").withColumn(value, F.coalesce(F.col(value).cast("double"), F.col("__fill"))).drop("__fill")
 
 
+def _rim(cells: DataFrame, value: str, k: int) -> DataFrame:
+    """Known cells with a void within k rows and columns.
+
+    No other cell is among the k nearest of any void: on the way from a void to a known cell that has only known cells around it
+    for k steps, those steps are k known cells that are nearer.
+    """
+    across = Window.partitionBy("row").orderBy("col").rangeBetween(-k, k)
+    down = Window.partitionBy("col").orderBy("row").rangeBetween(-k, k)
+    marked = cells.select("row", "col", F.col(value).cast("double").alias("z"), F.col(value).isNull().cast("int").alias("__v"))
+    marked = marked.withColumn("__v", F.max("__v").over(across)).withColumn("__v", F.max("__v").over(down))
+    return marked.where((F.col("__v") == 1) & F.col("z").isNotNull()).select("row", "col", "z").persist()
+
+
+def _in_chunks(rim: DataFrame, voids: DataFrame, need: int, halo: int, span: int, chunk: int) -> DataFrame:
+    """(row, col, __fill) of the voids whose `need` nearest lie within the halo, from the rim cells around each chunk.
+
+    A chunk's voids meet the rim cells of its haloed box in slices, so memory is bounded by the rim's length and not by the gap's
+    area. Beyond the halo nothing has been seen: a void whose last neighbour is farther waits for the next, wider one.
+    """
+    whole = halo >= span
+    mine = voids.select("row", "col", F.floor(F.col("row") / chunk).cast("int").alias("chunk_row"), F.floor(F.col("col") / chunk).cast("int").alias("chunk_col"))
+    active = mine.select("chunk_row", "chunk_col").distinct()
+
+    def spans(at: str):
+        return F.explode(F.sequence(F.floor((F.col(at) - halo) / chunk).cast("int"), F.floor((F.col(at) + halo) / chunk).cast("int")))
+
+    # rim cells go to the chunks whose box holds them and that have voids left
+    around = rim.withColumn("chunk_row", spans("row")).withColumn("chunk_col", spans("col")).join(active, ["chunk_row", "chunk_col"], "left_semi")
+    # both sides come from one frame; fresh names keep their columns apart
+    around = around.select(*[F.col(c).alias(f"rim_{c}") for c in ("chunk_row", "chunk_col", "row", "col", "z")])
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        vr, vc = left["row"].to_numpy(np.int64), left["col"].to_numpy(np.int64)
+        place = np.lexsort((right["rim_col"], right["rim_row"]))
+        rr, rc, rz = (right[c].to_numpy()[place] for c in ("rim_row", "rim_col", "rim_z"))
+        rr, rc = rr.astype(np.int64), rc.astype(np.int64)
+        out = []
+        step = max(1, (1 << 21) // max(1, len(rr)))
+        for first in range(0, len(vr) if len(rr) >= need else 0, step):
+            r, c = vr[first : first + step], vc[first : first + step]
+            # squared distance, then the rim's own order, in one number
+            key = ((r[:, None] - rr) ** 2 + (c[:, None] - rc) ** 2) * np.int64(len(rr)) + np.arange(len(rr))
+            best = np.partition(key, need - 1, axis=1)[:, :need]
+            far = best.max(axis=1) // len(rr)
+            ok = np.ones(len(r), dtype=bool) if whole else far <= halo * halo
+            out.append(pd.DataFrame({"row": r[ok], "col": c[ok], "__fill": rz[best[ok] % len(rr)].mean(axis=1)}))
+        return pd.concat(out) if out else pd.DataFrame({"row": [], "col": [], "__fill": []})
+
+    return mine.groupBy("chunk_row", "chunk_col").cogroup(around.groupBy("rim_chunk_row", "rim_chunk_col")).applyInPandas(run, "row int, col int, __fill double")
+
+
 def nearest_fill(cells: DataFrame, grid: Grid, value: str) -> DataFrame:
     """Each NULL replaced by the nearest known value."""
     return knn_fill(cells, grid, value, k=1)

@@ -104,6 +104,19 @@ def test_knn_fill_with_escalation(spark, k):
     assert np.allclose(got, knn(z, k), atol=1e-12)
 
 
+@pytest.mark.parametrize("k", [1, 8])
+def test_knn_fill_of_wide_gaps_by_chunks(spark, k):
+    shape = (40, 50)
+    z = RNG.integers(0, 64, shape) / 8.0
+    z[5:33, 8:45] = np.nan  # a gap much wider than the radii searched by offsets, with an island
+    z[18, 25] = 1.0
+    z[RNG.random(shape) < 0.1] = np.nan
+    g = Grid(0.0, 40.0, 1.0, 50, 40, 3763)
+    for last, chunk in ((0, 4), (2, 8)):
+        got = array(neighbours.knn_fill(frame(spark, z), g, "z", k=k, first_radius=1, last_radius=last, chunk=chunk), "z", shape)
+        assert np.allclose(got, knn(z, k), atol=1e-12)
+
+
 def test_knn_fill_of_few_or_no_values(spark):
     z = np.full((ROWS, COLS), np.nan)
     assert np.isnan(array(neighbours.knn_fill(frame(spark, z), GRID, "z"), "z")).all()
