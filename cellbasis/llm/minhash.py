@@ -219,11 +219,10 @@ def _grow(reps: DataFrame, roots: range, levels: int, leaf: int, joined: bool) -
             dense.append(current.select(*columns))
             break
         if joined:
-            shares = current.groupBy("node", "component").agg(F.count(F.lit(1)).alias("size"))
-            few = shares.groupBy("node").agg((F.sum("size") - F.max("size")).alias("outside")).where(F.col("outside") <= FEW_BLOCKS * (leaf // 2)).select("node")
-            few = written(few, "dense-nodes")
-            dense.append(current.join(few, "node", "left_semi").select(*columns))
-            current = current.join(few, "node", "left_anti")
+            marked = _with_shares(current, max(1, leaf // 2))
+            few = F.col("outside") <= FEW_BLOCKS * (leaf // 2)
+            dense.append(marked.where(few).select(*columns))
+            current = marked.where(~few).select(*columns)
         place = lambda j: (F.lit(ROOTS + 1) + F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SIGNATURE - ROOTS))).cast("int")
         steps = [F.xxhash64("node", F.lit(j), F.element_at("signature", place(j))) for j in range(BRANCHES)]
         branched = current.join(reps.select("id", "signature"), "id").select("id", "component", F.explode(F.array(*steps)).alias("node"))
@@ -259,6 +258,15 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _with_shares(rows: DataFrame, half: int) -> DataFrame:
+    """`rows` (node, component, ...) with the component that holds most of each node (the smallest of equals), the number of
+    members outside it, and the blocks that these make."""
+    shares = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("size"))
+    nodes = shares.groupBy("node").agg(F.max_by("component", F.struct(F.col("size"), -F.col("component"))).alias("most"), F.sum("size").alias("m"), F.max("size").alias("top"))
+    nodes = nodes.select("node", "most", "m", (F.col("m") - F.col("top")).alias("outside"), F.ceil((F.col("m") - F.col("top")) / half).cast("int").alias("parts"))
+    return attach(rows, written(nodes, "shares"), "node", "m", rows.count(), F.col("id")).drop("m")
+
+
 def _in_blocks(rows: DataFrame, half: int) -> DataFrame:
     """`rows` (node, id, n) dealt into blocks of about `half` members."""
     blocks = F.ceil(F.col("n") / half).cast("int")
@@ -278,14 +286,11 @@ def _block_groups(rows: DataFrame, half: int) -> DataFrame:
 def _outside_groups(rows: DataFrame, half: int) -> DataFrame:
     """Groups (node, id, query) that find all links of large nodes (node, id, n, component) between members of different
     components, exactly: the members outside the component that holds most of a node are compared with every block of it."""
-    placed = _in_blocks(rows, half)
-    shares = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("size"))
-    most = shares.groupBy("node").agg(F.max_by("component", "size").alias("most"))
-    outside = written(placed.join(most, "node").where("component != most").select("node", "id", "blocks"), "outside")
-    parts = outside.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / half).cast("int").alias("parts"))
-    asked = outside.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("node", "id", F.lit(1)), F.col("parts")).cast("int"))
+    placed = _in_blocks(_with_shares(rows, half), half)
+    outside = written(placed.where("component != most").select("node", "id", "blocks", "parts"), "outside")
+    asked = outside.withColumn("part", F.pmod(F.xxhash64("node", "id", F.lit(1)), F.col("parts")).cast("int"))
     asked = asked.select("node", "id", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    others = placed.join(parts, "node").select("node", "id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    others = placed.where("parts > 0").select("node", "id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     cell = F.xxhash64("node", "block", "part", F.lit(2)).alias("node")
     cells = asked.select(cell, "id", F.lit(True).alias("query")).unionByName(others.select(cell, "id", F.lit(False).alias("query")))
     return cells.groupBy("node", "id").agg(F.max("query").alias("query"))
