@@ -17,8 +17,16 @@ REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__fi
 HOT_SHARE = 1024
 
 
+#: Rows of a batch that goes to Python; texts are long, and Spark's default of 10,000 would make batches of 40 MB of them.
+BATCH_ROWS = 2000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ready(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers and give the session a checkpoint folder."""
+    """Make this package importable in the Python workers, give the session a checkpoint folder, and make batches of texts
+    small where the session's configuration leaves their size open."""
+    if not spark.sparkContext.getConf().contains(_BATCH_KEY):
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in have:
