@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from cellbasis.llm.common import keep_rows, ready
 
 WINDOW = 10
-#: Bytes of item text in one automaton (about 100 times as many in memory at worst). Beyond it items are dealt into groups,
+#: Bytes of item text in one automaton, which takes some 350 times as many in memory. Beyond it items are dealt into groups,
 #: each with an automaton and a pass of its own, and the passes' hits are united: no item is left out.
-MAX_ITEM_BYTES = 4 << 20
+MAX_ITEM_BYTES = 1 << 18
 
 #: A word: bytes of UTF-8 after A-Z became a-z. Bytes from \x80 are parts of other characters, which all count.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
