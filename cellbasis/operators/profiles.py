@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from cellbasis.functions.grid import Grid
 
+# A riser's slopes, lengths and heights in metres; relief is taken up to LONGEST_LAG.
+TREAD_SLOPE, STEEP_SLOPE = 0.27, 0.8
+TREAD_LENGTH, RISER_WIDTH, RISER_HEIGHT = 2.0, 3.0, 0.5
+LONGEST_LAG = 2.0
+
 DIRECTIONS = ("row", "col", "diag", "adiag")
 
 
@@ -39,7 +44,7 @@ def _h(cell: float) -> Column:
     return F.when(F.col("direction").isin("row", "col"), F.lit(float(cell))).otherwise(F.lit(cell * math.sqrt(2.0)))
 
 
-def risers(cells: DataFrame, grid: Grid, value: str, tread_slope: float = 0.27, steep_slope: float = 0.8, tread_length: float = 2.0, max_width: float = 3.0, min_height: float = 0.5) -> DataFrame:
+def risers(cells: DataFrame, grid: Grid, value: str, tread_slope: float = TREAD_SLOPE, steep_slope: float = STEEP_SLOPE, tread_length: float = TREAD_LENGTH, max_width: float = RISER_WIDTH, min_height: float = RISER_HEIGHT) -> DataFrame:
     """Riser candidates: steep runs of one sign between two treads, at their middle sample.
 
     Gaps and islands in windows: each gap between neighbouring samples is a tread, steep up, steep down, or neither (NULL
@@ -79,7 +84,7 @@ def risers(cells: DataFrame, grid: Grid, value: str, tread_slope: float = 0.27,
     )
 
 
-def relief(cells: DataFrame, grid: Grid, value: str, longest: float = 2.0) -> DataFrame:
+def relief(cells: DataFrame, grid: Grid, value: str, longest: float = LONGEST_LAG) -> DataFrame:
     """(direction, lag, dz): the greatest absolute difference between samples `lag` apart on one profile, for all lags up to
     `longest` metres; 0 where no pair is known."""
     along = Window.partitionBy("direction", "profile").orderBy("pos")

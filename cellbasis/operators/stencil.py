@@ -73,10 +73,10 @@ def step_magnitude(cells: DataFrame, grid: Grid, value: str, window: int = 7, le
     if least < 2:
         raise Refusal(f"a range needs two values, got {least}")
     r, v = window // 2, F.col(value).cast("double")
-    out = _square(cells, r, {"__hi": (F.max, v), "__lo": (F.min, v)}, [value])
-    known = _square(cells.withColumn("__k", F.col(value).isNotNull().cast("int")), r, {"n": (F.sum, F.col("__k"))}, [])
+    known = F.col(value).isNotNull().cast("int")
+    out = _square(cells, r, {"__hi": (F.max, v), "__lo": (F.min, v), "n": (F.sum, known)}, [])
     observed = (F.col("row") >= r) & (F.col("row") < grid.n_rows - r) & (F.col("col") >= r) & (F.col("col") < grid.n_cols - r)
-    return out.join(known, ["row", "col"]).where(observed & (F.col("n") >= least)).select("row", "col", (F.col("__hi") - F.col("__lo")).alias("step"), F.col("n").cast("int").alias("n"))
+    return out.where(observed & (F.col("n") >= least)).select("row", "col", (F.col("__hi") - F.col("__lo")).alias("step"), F.col("n").cast("int").alias("n"))
 
 
 def gradient(cells: DataFrame, value: str) -> DataFrame:
