@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from cellbasis.llm.common import chunks, keep_rows, ready
 
 UNKNOWN = "und"
-#: The documented bound of the training sample: documents a language, characters of each, characters a language.
+#: The documented bound of the training sample: documents a language (on average, twice as many at most), characters of
+#: each, characters a language.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 1000
 TRAIN_CHARS = 30_000
@@ -178,7 +179,9 @@ def sample(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, chars: int = SAM
     at_most = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(span, -(-docs_a_language * span // n)))) for k, n in sorted(counts.items())])
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < at_most)
     middle = F.greatest(F.lit(1), (F.length("text") / 2 - chars / 2).cast("int"))
-    drawn = drawn.select("lang", "doc_id", F.substring("text", middle, F.lit(chars)).alias("part"))
+    # repeated rows count once; the limit holds even where the hash draws more than it should
+    drawn = drawn.select("lang", "doc_id", F.substring("text", middle, F.lit(chars)).alias("part")).distinct()
+    drawn = drawn.orderBy(F.xxhash64("doc_id", "lang", "part"), "lang", "part").limit(2 * docs_a_language * len(counts))
     out: dict[str, list[str]] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r.part)):
         out.setdefault(r.lang, []).append(r.part)
