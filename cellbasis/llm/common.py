@@ -66,8 +66,8 @@ def attach(left: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     """Left join of `left` with `groups`, which has one row a key, safe where one key holds most of the rows.
 
     `size` is the column of `groups` with the key's number of rows in `left`, `total` their sum. Keys above
-    1/HOT_SHARE of the rows (at most HOT_SHARE of them) are broadcast; rows they match take a join key of
-    their own, made from `spread`, so that the other join never gathers them.
+    1/HOT_SHARE of the rows (at most HOT_SHARE of them) are broadcast; rows they match, and rows without a key, take a
+    join key of their own, made from `spread`, so that the other join never gathers them.
     """
     value_cols = [c for c in groups.columns if c != key]
     hot = groups.where(F.col(size) * HOT_SHARE > F.lit(total))
@@ -77,7 +77,7 @@ def attach(left: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     marked = left.join(F.broadcast(hot), left[key] == F.col("__hot_key"), "left")
     marked = marked.withColumn(
         "__left_key",
-        F.when(F.col("__hot").isNull(), F.col(key).cast("string")).otherwise(
+        F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(
             F.concat(F.lit("hot:"), F.xxhash64(spread).cast("string"))
         ),
     )

@@ -539,7 +539,7 @@ def test_trees_learn():
 
 
 def test_attach_serves_hot_and_cold_keys(spark):
-    left = spark.range(5000).select("id", F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    left = spark.range(5000).select("id", F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 5 != 0, F.col("id").cast("string")).alias("k"))
     groups = spark.createDataFrame([("hot", 1, 2500), ("1", 2, 1), ("none", 3, 1)], "k string, v int, n long")
     got = common.attach(left, groups, "k", "n", 5000, F.col("id"))
     assert got.count() == 5000 and got.where("v = 1").count() == 2500 and got.where("v = 2").count() == 1 and got.where("v is null").count() == 2499
