@@ -161,9 +161,9 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _index(captures: DataFrame, folder: str) -> list[tuple[tuple[bytes, int], str]]:
     """Write the index's shards, each a range of sorted captures; return the upper level."""
-    shard_count = max(1, -(-captures.count() // SHARD_CAPTURES))
-    spread = max(shard_count, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")) if shard_count == 1 else shard_count)
-    ordered = captures.repartitionByRange(min(spread, 4096) if shard_count < 4096 else shard_count, "surt", "page").sortWithinPartitions("surt", "page", "file", "start")
+    needed = -(-captures.count() // SHARD_CAPTURES)
+    parts = max(1, needed, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = captures.repartitionByRange(parts, "surt", "page").sortWithinPartitions("surt", "page", "file", "start")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _open(folder)
