@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,6 +57,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what finished stages hold. Their shuffle files and broadcasts are deleted only once the driver has
+    collected its garbage, which in a chain of many jobs may otherwise be never."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clean_up(spark: SparkSession) -> None:
     """Delete every table that `written` has left in the shared folder; no result may be in use any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cellbasis")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellbasis.llm.common import Words, _splitmix, attach, chunks, hash_whole, keep_ids, ready, windows, written
+from cellbasis.llm.common import Words, _splitmix, attach, chunks, hash_whole, keep_ids, ready, release, windows, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -327,11 +327,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the first tree alone, then the others over what it has joined: texts are read and dealt out once for each
     half = max(1, leaf // 2)
     leaves, crowded = _grow(reps.withColumn("component", F.col("id")), range(BRANCHES), levels, leaf, False)
+    release(spark)
     found = components(_compare(plain, _once(leaves).unionByName(_block_groups(crowded, half)), shingle, percent))
     label = lambda rows: rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    release(spark)
     leaves, dense = _grow(written(label(reps), "labelled"), range(BRANCHES, trees * BRANCHES), levels, leaf, True)
+    release(spark)
     dense = dense.unionByName(label(crowded.drop("component")).select(*dense.columns))
     links = _compare(plain, _once(leaves).unionByName(_outside_groups(dense, half)), shingle, percent)
+    release(spark)
     found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
     groups = written(found.join(sizes, found["id"] == sizes["rep"]).select("rep", "component", "size"), "components")
