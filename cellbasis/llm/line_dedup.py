@@ -1,7 +1,10 @@
 """Line dedup by pairwise alignment: documents that share lines are aligned, common blocks leave the later one.
 
-Every line two documents share leads to a pair through one holder only, its first (smallest id): rare lines and
-lines that a third of all documents have alike give at most one pair a document. Pairs carry hashes of lines, never text.
+Every line two documents share leads to a pair with its first holder (smallest id): rare lines and lines that a third of
+all documents have alike give at most one pair a document. Where that pair doesn't align the line, as the holder has it
+twice or in another order, `every_pair` goes on to the first holder that has it once, and what is left then to all earlier
+holders. These are told apart by their profiles only, in which lines that no other document has are blotted out: no
+alignment depends on more. Pairs carry hashes of lines, never text.
 """
 
 from __future__ import annotations
@@ -99,6 +102,47 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(gone, type=pa.list_(pa.int32()))], names=["row", "gone"])
 
 
+def profile(lines: list[int], shared: set[int]) -> list[int | None]:
+    """`lines` with each run of lines that aren't `shared` as one None, which equals no line."""
+    out: list[int | None] = []
+    for h in lines:
+        if not h or h in shared:
+            out.append(h)
+        elif not out or out[-1] is not None:
+            out.append(None)
+    return out
+
+
+def _inner_blanks(lines: list[int], shared) -> Iterator[tuple[int, range]]:
+    """Each run of blank lines between two lines that are `shared`, as a key of all three and its places."""
+    last = -1
+    for j, h in enumerate(lines):
+        if h:
+            if 0 <= last < j - 1 and lines[last] in shared and h in shared:
+                yield hash((lines[last], j - last - 1, h)), range(last + 1, j)
+            last = j
+
+
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row: the keys of what could leave it and hasn't, the lines that can anchor a pair with an earlier document;
+    then, of the row as an earlier document, its profile, the keys in it, and the lines that can anchor a pair."""
+    names = ["row", "doc", "lines", "left", "once", "profile", "keys", "alone"]
+    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 6]
+    for batch in batches:
+        rows = []
+        for row, doc, lines, common, gone in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            shared = {x["line"]: x["first"] for x in common or ()}
+            before = {h for h, first in shared.items() if first < doc}
+            drop = set(gone or ())
+            left = {h for j, h in enumerate(lines) if h in before and j not in drop}
+            left.update(k for k, places in _inner_blanks(lines, before) if any(j not in drop for j in places))
+            alone = [h for h, n in Counter(lines).items() if n == 1 and h in shared]
+            keys = {*(h for h in lines if h in shared), *(k for k, _ in _inner_blanks(lines, shared))} if alone else ()
+            rows.append((row, doc, lines, list(left), [h for h in alone if h in before], profile(lines, set(shared)), list(keys), alone))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -112,12 +156,58 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _gone(pairs: DataFrame, earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """For each of the distinct `pairs` (row, first) the places that leave the row. `earlier`: arrays of lines by first, of
+    which the least counts, `later`: by row. An earlier document with many pairs is copied once for each share of them."""
+    firsts = written(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("pairs")).withColumn("shares", F.ceil(F.col("pairs") / SHARE).cast("int")), "firsts")
+    earlier = earlier.join(firsts, "first").groupBy("first").agg(F.min("lines").alias("earlier"), F.max("shares").alias("shares"))
+    earlier = earlier.select("first", "earlier", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    dealt = attach(pairs, firsts, "first", "pairs", pairs.count(), F.col("row")).withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int"))
+    both = dealt.select("row", "first", "share").join(later, "row").join(earlier, ["first", "share"])
+    return both.select("row", "earlier", "later").mapInArrow(_aligned, "row long, gone array<int>")
+
+
+def _united(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def _further(keyed: DataFrame, shared: DataFrame, gone: DataFrame) -> DataFrame:
+    """`gone` with what the pairs through first holders missed, so that it is what all pairs give."""
+    common = shared.groupBy("row").agg(F.collect_list(F.struct("line", "first")).alias("common"))
+    kinds = "row long, doc long, lines array<bigint>, left array<bigint>, once array<bigint>, profile array<bigint>, keys array<bigint>, alone array<bigint>"
+    whole = keyed.dropDuplicates(["row"]).join(common, "row", "left").join(gone, "row", "left")
+    whole = written(whole.select("row", "doc", "lines", "common", "gone").mapInArrow(_rest, kinds), "rest")
+    rest = whole.where("size(left) > 0 and size(once) > 0")  # the others have nothing to lose or no anchor
+    if rest.isEmpty():
+        return gone
+    # earlier documents that differ in their profiles, each by its smallest id
+    known = whole.groupBy("doc").agg(F.min(F.struct("lines", "profile", "keys", "alone")).alias("x")).where("size(x.alone) > 0")
+    known = known.groupBy("x.profile").agg(F.min(F.struct("doc", "x.keys", "x.alone")).alias("x"))
+    known = written(known.select(F.col("x.doc").alias("first"), F.col("profile").alias("lines"), "x.keys", "x.alone"), "profiles")
+    sole = known.select("first", F.explode("alone").alias("line")).groupBy("line").agg(F.min("first").alias("first"))
+    # first holders that have a line once, for the lines that the row has once; a row for which there is none has no anchor
+    asked = written(rest.select("row", "doc", F.explode("once").alias("line"), F.array_contains("left", F.col("line")).alias("open")), "asked")
+    sole = asked.groupBy("line").agg(F.count(F.lit(1)).alias("n")).join(sole, "line")
+    met = written(attach(asked, sole, "line", "n", asked.count(), F.col("row")).where("first < doc").select("row", "first", "open"), "met")
+    more = written(_gone(met.where("open").select("row", "first").distinct(), known, rest.select("row", F.col("lines").alias("later"))), "gone")
+    gone = written(_united(gone.unionByName(more)), "gone")
+    anchored = rest.join(met.select("row").distinct(), "row", "left_semi").select("row", "doc", "lines")
+    rest = anchored.join(common, "row").join(gone, "row", "left").select("row", "doc", "lines", "common", "gone").mapInArrow(_rest, kinds)
+    rest = written(rest.where("size(left) > 0").select("row", "doc", "lines", "left"), "rest")
+    # what is left is aligned with every earlier document that has it
+    asked = rest.select("row", "doc", F.explode("left").alias("key"))
+    pairs = asked.join(known.select("first", F.explode("keys").alias("key")), "key").where("first < doc").select("row", "first").distinct()
+    more = _gone(written(pairs, "line-pairs"), known, rest.select("row", F.col("lines").alias("later")))
+    return _united(gone.unionByName(more))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_pair: bool = False) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_lines, n_removed, kept_sha256, kept_text.
 
     Lines end at \\n and are compared without outer white space. A document is aligned with the first holder of each line
-    that it shares with a smaller id, as both stand in the input, and loses the aligned blocks of all these pairs. Blank lines
-    lead to no pair and go only from within a block. Null and empty texts have no lines. A null id ranks behind
+    that it shares with a smaller id, as both stand in the input, and loses the aligned blocks of all these pairs; with
+    `every_pair` it loses those of its pairs with all documents of smaller ids. Blank lines lead to no pair of first holders
+    and go only from within a block. Null and empty texts have no lines. A null id ranks behind
     every id. Rows that share an id don't affect each other, and repeated rows give repeated rows; where an id comes with
     several texts, later documents are aligned with the least of these as arrays of hashes. An empty table gives an
     empty result; other columns are ignored.
@@ -130,15 +220,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     holders = held.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
     holders = written(holders.drop("last"), "holders")
     total = keyed.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
-    pairs = attach(held, holders, "line", "n", total, F.col("row")).where("first < doc").select("row", "first").distinct()
-    pairs = written(pairs, "line-pairs")
-    # the earlier documents' lines, one array an id; a first holder with many pairs is copied once for each share of them
-    firsts = written(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("pairs")).withColumn("shares", F.ceil(F.col("pairs") / SHARE).cast("int")), "firsts")
-    earlier = keyed.select(F.col("doc").alias("first"), "lines").join(firsts, "first").groupBy("first").agg(F.min("lines").alias("earlier"), F.max("shares").alias("shares"))
-    earlier = earlier.select("first", "earlier", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    later = keyed.select("row", F.col("lines").alias("later")).dropDuplicates(["row"])
-    dealt = attach(pairs, firsts, "first", "pairs", pairs.count(), F.col("row")).withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int"))
-    both = dealt.select("row", "first", "share").join(later, "row").join(earlier, ["first", "share"])
-    gone = both.select("row", "earlier", "later").mapInArrow(_aligned, "row long, gone array<int>")
-    gone = gone.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    shared = attach(held, holders, "line", "n", total, F.col("row")).where("first is not null").select("row", "doc", "line", "first")
+    if every_pair:
+        shared = written(shared, "shared")
+    pairs = written(shared.where("first < doc").select("row", "first").distinct(), "line-pairs")
+    gone = _united(_gone(pairs, keyed.select(F.col("doc").alias("first"), "lines"), keyed.select("row", F.col("lines").alias("later")).dropDuplicates(["row"])))
+    if every_pair:
+        gone = _further(keyed, shared, written(gone, "gone"))
     return plain.withColumn("row", F.xxhash64("doc_id", "text")).join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(_cut, SCHEMA)

@@ -26,7 +26,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_read(spark, sf_dir, "documents")).drop("kept_text")
+    return line_dedup.line_dedup(_read(spark, sf_dir, "documents"), every_pair=True).drop("kept_text")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

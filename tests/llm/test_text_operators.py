@@ -254,6 +254,56 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(frame(spark, EDGES)).count() == len(EDGES)
 
 
+def brute_all_pairs(rows):
+    """Each later document against every document of a smaller id."""
+    key = lambda x: x.strip(" \t\x0b\x0c\r")
+    docs = [(i, [] if not t else [key(x) for x in t.split("\n")], t) for i, t in rows]
+    number = {x: n for n, x in enumerate(dict.fromkeys(x for _, lines, _ in docs for x in lines if x), 1)}
+    codes = [(i, [number.get(x, 0) for x in lines], t) for i, lines, t in docs]
+    out = []
+    for i, lines, t in codes:
+        gone = {j for k, other, _ in codes if k < i for j in line_dedup.align(other, lines)}
+        out.append((i, len(lines), len(gone), "\n".join(x for n, x in enumerate((t or "").split("\n") if t else []) if n not in gone)))
+    return sorted(out)
+
+
+LINES = {
+    "the first holder has the passage twice": ["p\nq\np\nq", "p\nq", "p\nq"],
+    "the first holder has another order": ["x\ny", "y\nx", "y\nx"],
+    "blank lines that a later pair alone has within a block": ["x\na", "y\nb", "x\n\ny", "x\n\ny\nc"],
+    "crossed with several earlier holders": ["x\n1\ny\n2\nz", "z\n3\nx\n4\ny", "y\n5\nx\n6\nz", "z\ny\nx", "7\nz\ny\nx"],
+    "a line that is always there twice": ["h\na\nh", "h\nb\nh", "h\nc\nh", "h\nc\nh\nd"],
+}
+
+
+@pytest.mark.parametrize("name", LINES)
+def test_line_dedup_of_every_pair(spark, name):
+    rows = list(enumerate(LINES[name]))
+    got = collect(line_dedup.line_dedup(frame(spark, rows), every_pair=True), "doc_id", "n_lines", "n_removed", "kept_text")
+    assert got == brute_all_pairs(rows)
+
+
+def test_line_dedup_of_every_pair_of_many(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(120):
+        lines = [f"line {rng.integers(0, 12)}" if rng.random() < 0.5 else "" if rng.random() < 0.3 else f"own {k} {j}" for j in range(int(rng.integers(0, 12)))]
+        rows.append((k, "\n".join(lines)))
+    rows += [(120, None), (121, ""), (122, "\n\n")]
+    got = collect(line_dedup.line_dedup(frame(spark, rows, True), every_pair=True), "doc_id", "n_lines", "n_removed", "kept_text")
+    assert got == sorted(brute_all_pairs(rows), key=repr) != sorted(brute_lines(rows), key=repr)
+    assert line_dedup.line_dedup(frame(spark, []), every_pair=True).count() == 0
+    assert line_dedup.line_dedup(frame(spark, EDGES), every_pair=True).count() == len(EDGES)
+
+
+def test_registered_line_dedup_is_of_every_pair(spark, sf_dir):
+    from cellbasis.llm import queries
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = collect(queries.op4_line_dedup(spark, sf_dir), "doc_id", "n_removed")
+    assert got == sorted(((i, n) for i, _, n, _ in brute_all_pairs(rows)), key=repr)
+
+
 def test_alignment():
     assert line_dedup.align([1, 2, 3, 4], [9, 2, 3, 8]) == [1, 2]
     assert line_dedup.align([1, 2], [2, 1]) in ([0], [1])  # out of order: one of them
