@@ -4,12 +4,14 @@ For each language a suffix automaton is built over a bounded sample of labelled
 into phrases, each the longest match that the automaton yields at that place. The number of phrases, normalised by
 the sample's and the text's length, estimates the cross-entropy of the text under the language.
 
-The automata are dense transition tables, and many segments of text walk through them side by side, one character a
-step, so the cost is a few array operations a step whatever the number of segments.
+Every letter of the samples is a symbol of its own. The automata are sparse transition tables, whose size follows the
+sample and not the alphabet, and many segments of text walk through them side by side, one character a step, so the cost
+is a few array operations a step whatever the number of segments.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +31,8 @@ TRAIN_CHARS = 30_000
 #: Languages at most; the labels beyond the most frequent ones are refused by name.
 MAX_LANGUAGES = 64
 SEGMENT = 256  # characters that walk as one; a longer text is several segments, whose phrases add up
-_LIMIT = 0x3000  # code points from here on share one symbol
+_POINTS = 0x110000  # code points
+_LOW = (1 << 32) - 1
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -37,10 +40,10 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 @dataclass
 class Model:
     langs: list[str]
-    codes: np.ndarray  # symbol of each code point below _LIMIT: 0 not a letter, 1.. letters of the samples, then one for the rest
+    codes: np.ndarray  # symbol of each code point: 0 not a letter, 1.. letters of the samples, then one for the rest
     symbols: int  # all symbols, padding included
-    tables: list[np.ndarray]  # next state * symbols by state * symbols + symbol; negative: ~ of it, after a phrase's end
-    lacking: list[np.ndarray]  # symbols that the sample lacks, each of which is a phrase
+    local: list[np.ndarray]  # a language's own symbol by symbol: 0 not a letter, 1.. its sample's letters, then one for all that it lacks, padding
+    tables: list[np.ndarray]  # by state + own symbol: the state, << 32, | the next state; another state there: no transition
     bits: list[float]  # bits that a phrase costs
 
 
@@ -75,10 +78,43 @@ def suffix_automaton(codes: list[int]) -> tuple[list[dict[int, int]], list[int]]
     return step, link
 
 
+def sparse_table(step: list[dict[int, int]], symbols: int) -> np.ndarray:
+    """The transitions as one array, in which each state is the place its symbols count from; no two have the same.
+
+    The root is 0 and has all `symbols`: those without a transition lead back to it.
+    """
+    rows = sorted(range(1, len(step)), key=lambda s: -len(step[s]))
+    size = 1 << (2 * max(len(step) + symbols, sum(map(len, step)) + symbols)).bit_length()
+    rng = random.Random(size)
+    while True:
+        used = bytearray(b"\1" * symbols + bytes(size))
+        at, taken = [0] * len(step), {0}
+        for s in rows:
+            for _ in range(1000):
+                place = rng.randrange(1, size)
+                if place not in taken and not any(used[place + c] for c in step[s]):
+                    break
+            else:
+                break  # too crowded
+            taken.add(place)
+            at[s] = place
+            for c in step[s]:
+                used[place + c] = 1
+        else:
+            break
+        size *= 2
+    out = np.full(size + symbols, -1 << 32, dtype=np.int64)
+    out[:symbols] = 0
+    for s, row in enumerate(step):
+        for c, to in row.items():
+            out[at[s] + c] = at[s] << 32 | at[to]
+    return out
+
+
 def _symbols(text: str, codes: np.ndarray) -> np.ndarray:
     """The symbols of `text` in lower case, each run of what isn't a letter as one."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = codes[np.minimum(points, _LIMIT - 1)]
+    out = codes[points]
     keep = np.ones(len(out), dtype=bool)
     keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
     return out[keep]
@@ -87,33 +123,22 @@ def _symbols(text: str, codes: np.ndarray) -> np.ndarray:
 def train(samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS) -> Model:
     """A model of each language's sample texts; of languages that tie, the first in `samples` wins."""
     langs = list(samples)
-    seen = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha() and ord(c) < _LIMIT - 1})
-    seen = seen[:250]
-    letter = np.array([chr(i).isalpha() for i in range(_LIMIT)])
-    letter[_LIMIT - 1] = True
+    seen = sorted({ord(c) for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
+    letter = np.array([chr(i).isalpha() for i in range(_POINTS)])
     codes = np.where(letter, len(seen) + 1, 0).astype(np.int32)
-    for i, c in enumerate(seen):
-        codes[ord(c)] = i + 1
+    codes[seen] = np.arange(1, len(seen) + 1)
     symbols = len(seen) + 3  # none, letters, other letters, padding
-    tables, lacking, bits = [], [], []
+    local, tables, bits = [], [], []
     for lang in langs:
         text = np.concatenate([np.zeros(1, dtype=np.int32), *(_symbols(t + " ", codes) for t in samples[lang])])[:train_chars]
-        step, _ = suffix_automaton(text.tolist())
-        root = np.full(symbols, ~0, dtype=np.int32)  # a symbol that the sample lacks ends a phrase and is one
-        for c, to in step[0].items():
-            root[c] = ~(to * symbols)
-        table = np.tile(root, (len(step), 1))
-        for state, row in enumerate(step):
-            for c, to in row.items():
-                table[state, c] = to * symbols
-        table[0, table[0] == ~0] = 0
-        table[:, symbols - 1] = np.arange(len(step), dtype=np.int32) * symbols  # padding leaves the state
-        unseen = np.ones(symbols, dtype=bool)
-        unseen[[*step[0], symbols - 1]] = False
-        lacking.append(unseen)
-        tables.append(table.reshape(-1))
+        own = np.unique(text[text != 0])
+        to_own = np.full(symbols, len(own) + 1, dtype=np.int32)
+        to_own[0], to_own[own], to_own[symbols - 1] = 0, np.arange(1, len(own) + 1), len(own) + 2
+        step, _ = suffix_automaton(to_own[text].tolist())
+        local.append(to_own)
+        tables.append(sparse_table(step, len(own) + 3))
         bits.append(float(np.log2(len(text) + 1)))
-    return Model(langs, codes, symbols, tables, lacking, bits)
+    return Model(langs, codes, symbols, local, tables, bits)
 
 
 def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,14 +156,18 @@ def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.
     out = np.zeros((len(texts), len(model.langs)), dtype=np.int64)
     owner = np.repeat(np.arange(len(texts)), rows)
     for k, table in enumerate(model.tables):
-        state = np.zeros(lanes.shape[1], dtype=np.int32)
+        own = model.local[k]
+        lacks = own == own.max() - 1  # each of these is a phrase
+        root = table[: own.max() + 1] & _LOW
+        state = np.zeros(lanes.shape[1], dtype=np.int64)
         ended = np.zeros(lanes.shape[1], dtype=np.int32)
         for column in lanes:
-            state = table[state + column]
-            sign = state >> 31
-            ended -= sign
-            state ^= sign
-        ended += model.lacking[k][lanes].sum(axis=0, dtype=np.int32)
+            symbol = own[column]
+            found = table[state + symbol]
+            miss = (found >> 32) != state  # the phrase ends, another begins; padding and lacking symbols lead to the root
+            state = np.where(miss, root[symbol], found & _LOW)
+            ended += miss
+        ended += lacks[lanes].sum(axis=0, dtype=np.int32)
         ended += state != 0
         out[:, k] = np.bincount(owner, weights=ended, minlength=len(texts)).astype(np.int64) if len(owner) else 0
     return out, sizes, letters

@@ -437,6 +437,51 @@ def test_phrases_are_greedy_longest_matches():
             assert got[i, lang] == count
 
 
+def _letters(first, n, step=1):
+    return [c for c in map(chr, range(first, first + 4 * n * step, step)) if c.isalpha() and c == c.lower()][:n]
+
+
+def _invented(letters, seed, n=60):
+    """Texts of words that are drawn from a fixed vocabulary over `letters`."""
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(letters, rng.integers(2, 5))) for _ in range(80)]
+    return [" ".join(rng.choice(words, 40)) for _ in range(n)]
+
+
+def test_han_kana_and_hangul_are_told_apart():
+    texts = {"zh": "我们今天在学校学习中文然后回家吃饭", "ja": "わたしたちはきょう学校で日本語を勉強します", "ko": "우리는 오늘 학교에서 한국어를 공부합니다"}
+    model = langid.train({k: [v] for k, v in texts.items()})
+    told = langid.predict(["今天我们回家学习", "きょうわたしたちは勉強します", "오늘 우리는 공부합니다"], model)
+    assert [x for x, _ in told] == ["zh", "ja", "ko"] and min(s for _, s in told) > 0.2
+
+
+def test_languages_of_many_scripts_and_one_script():
+    starts = {"la": 0x61, "el": 0x3B1, "ru": 0x430, "hy": 0x561, "he": 0x5D0, "ar": 0x620, "hi": 0x905, "bn": 0x985, "ta": 0xB85, "th": 0xE01, "ka": 0x10D0, "am": 0x1200, "ko": 0xAC00, "goth": 0x10330}
+    alphabets = {k: _letters(v, 44) for k, v in starts.items()} | {"zh": _letters(0x4E00, 3000)}
+    samples = {f"{k}{v}": _invented(letters, 2 * n + v) for n, (k, letters) in enumerate(alphabets.items()) for v in range(2)}
+    model = langid.train({k: v[:40] for k, v in samples.items()})
+    used = {c for v in samples.values() for t in v[:40] for c in t if c.isalpha()}
+    assert len({int(model.codes[ord(c)]) for c in used}) == len(used) > 396
+    for lang, texts in samples.items():  # two languages share each script, and differ in their words
+        assert {x for x, _ in langid.predict(texts[40:], model)} == {lang}
+
+
+def test_sparse_tables_hold_the_transitions():
+    step, _ = langid.suffix_automaton([0, 1, 2, 1, 1, 2, 3, 1, 2, 0])
+    table = langid.sparse_table(step, 6)
+    state, todo = {0: 0}, [0]
+    while todo:
+        s = todo.pop()
+        for c in range(6):
+            found = int(table[state[s] + c])
+            assert (found >> 32 == state[s]) == (c in step[s] or s == 0)
+            if c in step[s] and step[s][c] not in state:
+                state[step[s][c]] = found & 0xFFFFFFFF
+                todo.append(step[s][c])
+            assert c not in step[s] or state[step[s][c]] == found & 0xFFFFFFFF
+    assert len(set(state.values())) == len(step)
+
+
 def test_languages_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
