@@ -28,8 +28,9 @@ UNKNOWN = "und"
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 1000
 TRAIN_CHARS = 30_000
-#: Languages at most; the labels beyond the most frequent ones are refused by name.
-MAX_LANGUAGES = 64
+#: Languages of one model. Beyond it languages are dealt into groups by frequency, each with a model and a pass of its own,
+#: and the best costs of all passes count: no label is left out.
+LANGUAGES_A_PASS = 64
 SEGMENT = 256  # characters that walk as one; a longer text is several segments, whose phrases add up
 _POINTS = 0x110000  # code points
 _LOW = (1 << 32) - 1
@@ -173,35 +174,52 @@ def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.
     return out, sizes, letters
 
 
-def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
-    """Language and score of each text: 1 - the best language's bits / the second best's; ties go to the model's first."""
+def best_two(texts: list[str | None], model: Model) -> list[list[tuple[float, int]]]:
+    """For each text the least costs with their languages' places in the model, two at most; of ties the model's first
+    come first. None where the text has no letter."""
     given = [t or "" for t in texts]
     counts, sizes, letters = phrases(given, model)
-    out = []
+    out: list[list[tuple[float, int]]] = []
     cost = counts * np.array(model.bits)[None, :] / np.maximum(sizes, 1)[:, None] if model.langs else counts
     for i, text in enumerate(given):
-        if not model.langs or not (letters[i] and any(c.isalpha() for c in text)):
-            out.append((UNKNOWN, 0.0))
-            continue
-        order = np.argsort(cost[i], kind="stable")
-        best = cost[i, order[0]]
-        second = cost[i, order[1]] if len(order) > 1 else np.inf
-        out.append((model.langs[order[0]], float(1.0 if second == np.inf else 1 - best / second)))
+        known = model.langs and letters[i] and any(c.isalpha() for c in text)
+        out.append([(float(cost[i, k]), int(k)) for k in np.argsort(cost[i], kind="stable")[:2]] if known else [])
     return out
 
 
+def verdict(found: list[tuple[float, str]]) -> tuple[str, float]:
+    """Language and score of the least costs: 1 - the best / the second best; 1 where there is no second."""
+    if not found:
+        return UNKNOWN, 0.0
+    return found[0][1], 1 - found[0][0] / found[1][0] if len(found) > 1 else 1.0
+
+
+def predict(texts: list[str | None], model: Model) -> list[tuple[str, float]]:
+    """Language and score of each text: 1 - the best language's bits / the second best's; ties go to the model's first."""
+    return [verdict([(cost, model.langs[k]) for cost, k in found]) for found in best_two(texts, model)]
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 1 modulo 3; such rows are never learnt from. A null id counts as ''."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def sample(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """The training sample: about `docs_a_language` labelled rows a language, chosen by a hash of the id, the same rows
-    every time, `chars` characters from the middle of each; the most frequent language first. Bounded whatever the table's size."""
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+def _labelled(docs: DataFrame) -> DataFrame:
+    """The rows that may be learnt from."""
+    return docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+
+
+def label_groups(docs: DataFrame, a_pass: int = LANGUAGES_A_PASS) -> list[dict[str, int]]:
+    """Every label with its number of rows, the most frequent first, in groups of `a_pass`; one empty group if there is none."""
+    counts = [(r.lang, r.n) for r in _labelled(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    return [dict(counts[i : i + a_pass]) for i in range(0, max(1, len(counts)), a_pass)]
+
+
+def sample(docs: DataFrame, counts: dict[str, int], docs_a_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+    """The training sample of the labels in `counts` (of `label_groups`): about `docs_a_language` rows a language, chosen by a
+    hash of the id, the same rows every time, `chars` characters from the middle of each; in the order of `counts`. Bounded
+    whatever the table's size."""
+    rows = _labelled(docs)
     if not counts:
         return {}
     span = 1 << 32
@@ -217,17 +235,20 @@ def sample(docs: DataFrame, docs_a_language: int = SAMPLE_DOCS, chars: int = SAM
     return {k: out[k] for k in counts if any(c.isalpha() for t in out.get(k, []) for c in t)}
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = TRAIN_CHARS) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = TRAIN_CHARS, a_pass: int = LANGUAGES_A_PASS) -> DataFrame:
     """One row for each row of `docs`: doc_id, held_out, lang_pred, score.
 
-    Learns from text and non-null lang of rows that aren't held out; predicts from the whole text alone. `und` with
-    score 0 where the text is null or has no letter, or where no row is labelled. Where languages tie the one
+    Learns from text and non-null lang of rows that aren't held out, every label of them; predicts from the whole text alone.
+    `und` with score 0 where the text is null or has no letter, or where no row is labelled. Where languages tie the one
     with most labelled rows wins. Null ids count as ''. Repeated rows give repeated rows, an empty table an empty result; other columns
     are ignored.
     """
     ready(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(plain), train_chars))
+    groups = label_groups(plain, a_pass)
+    if len(groups) > 1:
+        return _identify_in_passes(plain, groups, train_chars)
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(plain, groups[0]), train_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -243,9 +264,43 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return plain.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, SCHEMA)
 
 
+def _identify_in_passes(plain: DataFrame, groups: list[dict[str, int]], train_chars: int) -> DataFrame:
+    """What one model of all `groups` together would give, by a pass for each."""
+    keyed = plain.select("doc_id", "text", F.xxhash64("text").alias("k"), F.sha2("text", 256).alias("s"))
+    found = "array<struct<cost: double, rank: long, lang: string>>"
+    united, rank = None, 0
+    for counts in groups:
+        model = plain.sparkSession.sparkContext.broadcast(train(sample(plain, counts), train_chars))
+        one = keyed.mapInArrow(_costs(model, rank), f"doc_id long, k long, s string, found {found}")
+        united = one if united is None else united.unionByName(one)
+        rank += len(counts)
+    by_text = united.groupBy("doc_id", "k", "s").agg((F.count(F.lit(1)) / len(groups)).cast("int").alias("times"), F.slice(F.array_sort(F.flatten(F.collect_set("found"))), 1, 2).alias("found"))
+    best, second = F.col("found")[0], F.col("found")[1]
+    score = F.when(F.size("found") == 0, F.lit(0.0)).when(F.size("found") == 1, F.lit(1.0)).otherwise(1 - best["cost"] / second["cost"])
+    told = by_text.withColumn("lang_pred", F.when(F.size("found") == 0, F.lit(UNKNOWN)).otherwise(best["lang"])).withColumn("score", score)
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("t")).drop("t")
+
+
+def _costs(model, rank: int):
+    """The function that finds the least costs under `model`, whose first language has this rank among all labels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        kind = pa.list_(pa.struct([("cost", pa.float64()), ("rank", pa.int64()), ("lang", pa.string())]))
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            rows: list[list[dict]] = []
+            for a, b in chunks(texts, 1 << 20):
+                rows += [[{"cost": cost, "rank": rank + k, "lang": m.langs[k]} for cost, k in two] for two in best_two(texts[a:b], m)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(rows, type=kind)], names=["doc_id", "k", "s", "found"])
+
+    return run
+
+
 def known_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of `docs`, with all their columns, whose language can be told: not null and not without any letter."""
     ready(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(plain)))
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(plain, label_groups(plain)[0])))
+    # any model's verdict is und for the same texts, so the first group's does for all
     return keep_rows(docs, text_col, lambda texts: [lang != UNKNOWN for lang, _ in predict(texts, model.value)])

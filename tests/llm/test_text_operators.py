@@ -466,6 +466,18 @@ def test_languages_of_many_scripts_and_one_script():
         assert {x for x, _ in langid.predict(texts[40:], model)} == {lang}
 
 
+def test_labels_beyond_one_pass(spark):
+    rows = [(100 * n + k, text, f"l{n:02}") for n in range(70) for k, text in enumerate(_invented(_letters(0x61, 26), n, 6))]
+    rows += [(9000, None, None), (9001, "1 2", "l00"), (None, rows[0][1], None), (None, rows[0][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = collect(langid.identify(docs), "doc_id", "held_out", "lang_pred", "score")
+    assert told == collect(langid.identify(docs, a_pass=80), "doc_id", "held_out", "lang_pred", "score")
+    label = {i: lang for i, _, lang in rows[:420]}
+    assert len(told) == len(rows) and all(lang == label[i] for i, held, lang, _ in told if i in label and not held)
+    assert np.mean([lang == label[i] for i, held, lang, _ in told if i in label and held]) > 0.9  # some labels have one row to learn from
+    assert langid.known_only(docs).count() == 422
+
+
 def test_sparse_tables_hold_the_transitions():
     step, _ = langid.suffix_automaton([0, 1, 2, 1, 1, 2, 3, 1, 2, 0])
     table = langid.sparse_table(step, 6)
