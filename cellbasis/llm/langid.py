@@ -24,7 +24,7 @@ from cellbasis.llm.common import chunks, keep_rows, ready
 
 UNKNOWN = "und"
 #: The documented bound of the training sample: documents a language (on average, twice as many at most), characters of
-#: each, characters a language.
+#: each, characters a language, which come from all these documents alike.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 1000
 TRAIN_CHARS = 30_000
@@ -121,6 +121,27 @@ def _symbols(text: str, codes: np.ndarray) -> np.ndarray:
     return out[keep]
 
 
+def _even(parts: list[np.ndarray], limit: int) -> list[np.ndarray]:
+    """The middles of `parts`, `limit` symbols in all: no part is cut to less than any other has. Each ends with its last
+    symbol, which isn't a letter."""
+    room, longest = limit, 0
+    by_size = sorted(len(p) for p in parts)
+    for i, n in enumerate(by_size):
+        if n * (len(by_size) - i) > room:
+            longest = room // (len(by_size) - i)
+            break
+        room, longest = room - n, n
+    spare = max(0, limit - sum(min(n, longest) for n in by_size))  # of the division, one symbol a part
+    out = []
+    for p in parts:
+        size = min(len(p), longest + (spare > 0 and len(p) > longest))
+        spare -= size > longest
+        if size:
+            first = (len(p) - size) // 2
+            out.append(np.append(p[first : first + size - 1], p[-1]))
+    return out
+
+
 def train(samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS) -> Model:
     """A model of each language's sample texts; of languages that tie, the first in `samples` wins."""
     langs = list(samples)
@@ -131,7 +152,7 @@ def train(samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS) -> Mode
     symbols = len(seen) + 3  # none, letters, other letters, padding
     local, tables, bits = [], [], []
     for lang in langs:
-        text = np.concatenate([np.zeros(1, dtype=np.int32), *(_symbols(t + " ", codes) for t in samples[lang])])[:train_chars]
+        text = np.concatenate([np.zeros(1, dtype=np.int32), *_even([_symbols(t + " ", codes) for t in samples[lang]], train_chars - 1)])
         own = np.unique(text[text != 0])
         to_own = np.full(symbols, len(own) + 1, dtype=np.int32)
         to_own[0], to_own[own], to_own[symbols - 1] = 0, np.arange(1, len(own) + 1), len(own) + 2

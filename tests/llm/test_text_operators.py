@@ -466,6 +466,21 @@ def test_languages_of_many_scripts_and_one_script():
         assert {x for x, _ in langid.predict(texts[40:], model)} == {lang}
 
 
+def test_all_drawn_documents_are_learnt_from(spark):
+    sizes = [0, 3, 10, 50, 51, 200]
+    parts = [np.append(np.arange(1, n), 0) if n else np.zeros(0, dtype=int) for n in sizes]
+    for limit in (0, 4, 40, 113, 160, 313, 314, 1000):
+        got = [len(p) for p in langid._even(parts, limit)]
+        assert sum(got) == min(limit, sum(sizes)) and all(p[-1] == 0 for p in langid._even(parts, limit))
+    assert sorted(len(p) for p in langid._even(parts, 113)) == [3, 10, 33, 33, 34]
+    # texts of large ids have words of their own
+    old, new = _letters(0x61, 13), _letters(0x6E, 13)
+    model = langid.train({"x": _invented(old, 1, 200) + _invented(new, 2, 200), "y": _invented(old, 3, 200) + _invented(new, 4, 200)}, 10_000)
+    for seed, lang in ((2, "x"), (4, "y")):
+        assert {k for k, _ in langid.predict(_invented(new, seed, 230)[200:], model)} == {lang}
+        assert np.mean([s for _, s in langid.predict(_invented(new, seed, 230)[200:], model)]) > 0.3
+
+
 def test_labels_beyond_one_pass(spark):
     rows = [(100 * n + k, text, f"l{n:02}") for n in range(70) for k, text in enumerate(_invented(_letters(0x61, 26), n, 6))]
     rows += [(9000, None, None), (9001, "1 2", "l00"), (None, rows[0][1], None), (None, rows[0][1], None)]
