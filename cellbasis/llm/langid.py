@@ -319,9 +319,17 @@ def _costs(model, rank: int):
 
 
 def known_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose language can be told: not null and not without any letter."""
+    """The rows of `docs`, with all their columns, whose language can be told: not null and not without any letter. Where no
+    row can be learnt from, because none is labelled, or all that are labelled are held out or have no letter, every text
+    with a letter stays."""
     ready(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(plain, label_groups(plain)[0])))
     # any model's verdict is und for the same texts, so the first group's does for all
-    return keep_rows(docs, text_col, lambda texts: [lang != UNKNOWN for lang, _ in predict(texts, model.value)])
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(plain, label_groups(plain)[0])))
+
+    def known(texts: list[str | None]) -> list[bool]:
+        if not model.value.langs:
+            return [any(c.isalpha() for c in t or "") for t in texts]
+        return [lang != UNKNOWN for lang, _ in predict(texts, model.value)]
+
+    return keep_rows(docs, text_col, known)

@@ -493,6 +493,17 @@ def test_labels_beyond_one_pass(spark):
     assert langid.known_only(docs).count() == 422
 
 
+def test_texts_with_letters_stay_where_nothing_can_be_learnt(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1)
+    for lang, labelled in ((None, "the end"), ("en", "the end"), ("en", "12 34")):
+        rows = spark.createDataFrame([(held, "the end", lang), (1000, "und der", None), (1001, None, None), (1002, "1 2 !", None), (1003, labelled, None)], "doc_id long, text string, lang string")
+        stay = {held, 1000} | ({1003} if labelled == "the end" else set())
+        assert {r.doc_id for r in langid.known_only(rows).collect()} == stay
+        assert {r.lang_pred for r in langid.identify(rows).collect()} == {"und"}
+    unlettered = spark.createDataFrame([(i, "12 34", "en") for i in range(9)] + [(1000, "und der", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.known_only(unlettered).collect()} == {1000}
+
+
 def test_sparse_tables_hold_the_transitions():
     step, _ = langid.suffix_automaton([0, 1, 2, 1, 1, 2, 3, 1, 2, 0])
     table = langid.sparse_table(step, 6)
