@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,9 +37,12 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session whose executors are
+    threads of the driver gets one of our own; any other is refused, as no folder of one machine would do."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder there that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cellbasis-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
