@@ -19,8 +19,10 @@ from cellbasis.llm.common import ready
 
 #: The rules of the driver's query: host and path, and the verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-#: The documented bound of the training sample: URLs that a rule decides, chosen by a hash.
+#: The documented bound of the training sample: URLs that a rule decides, chosen by a hash, and characters of each; longer URLs
+#: are judged like all others but not learnt from.
 SAMPLE_URLS = 20_000
+SAMPLE_CHARS = 2000
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, score double"
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,15 +42,29 @@ def split(url: str | None) -> tuple[str, str]:
     return rest[:n].translate(_UPPER), tail[: _until(tail, "?#")]
 
 
-def match(host: str, path: str, rules: dict[str, str]) -> str | None:
-    """The longest rule whose host is `host` or a parent of it and whose path `path` starts with."""
-    best = None
-    for rule in rules:
-        rule_host, slash, rest = rule.partition("/")
-        if (host == rule_host or host.endswith("." + rule_host)) and path.startswith(slash + rest):
-            if best is None or (len(rule), rule) > (len(best), best):
-                best = rule
-    return best
+@dataclass
+class Rules:
+    """Rules by host, so that a look-up costs a few probes however many there are."""
+
+    verdicts: dict[str, str]
+
+    def __post_init__(self) -> None:
+        self.by_host: dict[str, list[tuple[str, str]]] = {}
+        for rule in self.verdicts:
+            host, slash, rest = rule.partition("/")
+            self.by_host.setdefault(host, []).append((slash + rest, rule))
+        self.dots = max((h.count(".") for h in self.by_host), default=0)
+
+    def match(self, host: str, path: str) -> str | None:
+        """The longest rule whose host is `host` or a parent of it and whose path `path` starts with."""
+        best = None
+        # only ends of the host with as many labels as some rule has can be a rule's host
+        labels = host.rsplit(".", self.dots + 1)
+        for k in range(len(labels)):
+            for start, rule in self.by_host.get(".".join(labels[k:]), ()):
+                if path.startswith(start) and (best is None or (len(rule), rule) > (len(best), best)):
+                    best = rule
+        return best
 
 
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "suffix")
@@ -135,8 +151,8 @@ class Model:
 
 def train(urls: list[str], rules: dict[str, str]) -> Model:
     """Trees trained on the URLs of `urls` that a rule decides; the label is the rule's verdict."""
-    parsed = [(u, *split(u)) for u in urls]
-    decided = [(u, h, p, rules[r] == "block") for u, h, p in parsed if (r := match(h, p, rules))]
+    parsed, known = [(u, *split(u)) for u in urls], Rules(rules)
+    decided = [(u, h, p, rules[r] == "block") for u, h, p in parsed if (r := known.match(h, p))]
     y = np.array([d[3] for d in decided], dtype=float)
     prior = float((y.sum() + 1) / (len(y) + 2))
     seen, blocked = Counter(), Counter()
@@ -148,17 +164,32 @@ def train(urls: list[str], rules: dict[str, str]) -> Model:
     return Model(boost(x, y), suffixes, prior)
 
 
-def judge(urls: list[str | None], model: Model, rules: dict[str, str]) -> list[tuple[str, str, str | None, str, float]]:
+def judge(urls: list[str | None], model: Model, rules: Rules) -> list[tuple[str, str, str | None, str, float]]:
     parts = [split(u) for u in urls]
     x = np.array([features(u, h, p, model.suffixes, model.prior) for u, (h, p) in zip(urls, parts, strict=True)], dtype=float).reshape(-1, len(FEATURES))
     scores = model.trees.score(x).tolist()
     out = []
     for (h, p), s in zip(parts, scores, strict=True):
-        rule = match(h, p, rules)
-        out.append((h, p, rule, rules[rule] if rule else "block" if s >= 0.5 else "allow", s))
+        rule = rules.match(h, p)
+        out.append((h, p, rule, rules.verdicts[rule] if rule else "block" if s >= 0.5 else "allow", s))
     return out
 
 
+def sample(plain: DataFrame, rules: dict[str, str], sample_urls: int = SAMPLE_URLS) -> list[str]:
+    """At most `sample_urls` distinct URLs that some rule may decide, by a hash, the same ones every time. A hash threshold from
+    their estimated number thins them first, so about twice as many reach the driver, however large the table is."""
+    # a native test that keeps every URL that some rule may fit; train() applies the rules themselves
+    may = F.lit(False)
+    for rule in rules:
+        may = may | F.lower("url").contains(rule.partition("/")[0].lower())
+    some = plain.where(F.col("url").isNotNull() & (F.length("url") <= SAMPLE_CHARS) & may).select("url", F.xxhash64("url").alias("h"))
+    n = some.agg(F.approx_count_distinct("h")).first()[0]
+    span = 1 << 32
+    if n > 2 * sample_urls:
+        some = some.where(F.pmod("h", F.lit(span)) < F.lit(2 * sample_urls * span // n))
+    return [r.url for r in some.distinct().orderBy("h", "url").limit(sample_urls).collect()]
+
+
 def filter_urls(pages: DataFrame, rules: dict[str, str] | None = None, sample_urls: int = SAMPLE_URLS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each row of `pages`: page_id, host, path, rule, verdict and the trees' score.
 
@@ -171,16 +202,13 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] | None = None, sample_ur
     spark = pages.sparkSession
     ready(spark)
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    # a native test that keeps every URL that some rule may fit; train() applies the rules themselves
-    may = F.lit(False)
-    for rule in rules:
-        may = may | F.lower("url").contains(rule.partition("/")[0].lower())
-    drawn = plain.where(F.col("url").isNotNull() & may).select("url", F.xxhash64("url").alias("h")).distinct().orderBy("h", "url").limit(sample_urls)
-    model = train([r.url for r in drawn.collect()], rules)
+    drawn = sample(plain, rules, sample_urls)
+    model = train(drawn, rules)
+    known = Rules(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = judge(batch.column(1).to_pylist(), model, rules)
+            found = judge(batch.column(1).to_pylist(), model, known)
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
             kinds = [pa.string()] * 4 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True))], names=["page_id", "host", "path", "rule", "verdict", "score"])
