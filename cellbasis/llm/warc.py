@@ -33,6 +33,7 @@ FILE_BYTES = 256 << 20  # an archive is closed once it has so many
 BLOCK_CAPTURES = 512
 READ_BYTES = 4 << 20  # neighbouring records are read together up to this
 SHARD_CAPTURES = 1 << 20
+PART_BYTES = 64 << 20  # of archives that a task reads back
 NULL_ID = -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"  # pages have no time of capture
 
@@ -91,6 +92,9 @@ def _id_in(field: str) -> int | None:
 
 
 def _open(folder: str):
+    scheme, found, rest = folder.partition("://")
+    if found and scheme in ("s3a", "s3n"):  # Hadoop's names of what Arrow calls s3
+        folder = "s3://" + rest
     fs, path = pafs.FileSystem.from_uri(folder)
     return fs, path.rstrip("/")
 
@@ -159,10 +163,15 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _parts(spark: SparkSession, needed: int) -> int:
+    """Partitions of a range shuffle whose rows are small but stand for much work: as many as the work needs, and no fewer than the
+    session shuffles into."""
+    return max(1, needed, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _index(captures: DataFrame, folder: str) -> list[tuple[tuple[bytes, int], str]]:
     """Write the index's shards, each a range of sorted captures; return the upper level."""
-    needed = -(-captures.count() // SHARD_CAPTURES)
-    parts = max(1, needed, int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = _parts(captures.sparkSession, -(-captures.count() // SHARD_CAPTURES))
     ordered = captures.repartitionByRange(parts, "surt", "page").sortWithinPartitions("surt", "page", "file", "start")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +286,8 @@ def look_up(archive: Archive, wanted: DataFrame) -> DataFrame:
 
     asked = wanted.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     asked = asked.mapInArrow(keys, "surt string, page long").distinct()
-    return asked.repartitionByRange("surt", "page").sortWithinPartitions("surt", "page").mapInArrow(find, "page long, file string, start long, length long")
+    parts = _parts(archive.spark, -(-archive.captures.count() // SHARD_CAPTURES))
+    return asked.repartitionByRange(parts, "surt", "page").sortWithinPartitions("surt", "page").mapInArrow(find, "page long, file string, start long, length long")
 
 
 def read_back(archive: Archive, found: DataFrame) -> DataFrame:
@@ -307,7 +317,9 @@ def read_back(archive: Archive, found: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return found.select("page", "file", "start", "length").repartitionByRange("file", "start").sortWithinPartitions("file", "start").mapInArrow(run, SCHEMA)
+    size = archive.captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    wanted = found.select("page", "file", "start", "length").repartitionByRange(_parts(archive.spark, -(-size // PART_BYTES)), "file", "start")
+    return wanted.sortWithinPartitions("file", "start").mapInArrow(run, SCHEMA)
 
 
 def _summary(fields: dict[str, str], http: dict[str, str], payload: bytes) -> tuple:
