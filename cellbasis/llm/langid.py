@@ -6,7 +6,8 @@ the sample's and the text's length, estimates the cross-entropy of the text unde
 
 Every letter of the samples is a symbol of its own. The automata are sparse transition tables, whose size follows the
 sample and not the alphabet, and many segments of text walk through them side by side, one character a step, so the cost
-is a few array operations a step whatever the number of segments.
+is a few array operations a step whatever the number of segments. Segments of one text are then joined: the phrases are
+those of one parse through the whole text.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ TRAIN_CHARS = 30_000
 #: Languages of one model. Beyond it languages are dealt into groups by frequency, each with a model and a pass of its own,
 #: and the best costs of all passes count: no label is left out.
 LANGUAGES_A_PASS = 64
-SEGMENT = 256  # characters that walk as one; a longer text is several segments, whose phrases add up
+SEGMENT = 256  # characters that walk as one; a longer text is several segments, joined afterwards
 _POINTS = 0x110000  # code points
 _LOW = (1 << 32) - 1
 
@@ -163,6 +164,53 @@ def train(samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS) -> Mode
     return Model(langs, codes, symbols, local, tables, bits)
 
 
+def _walk(lanes: np.ndarray, own: np.ndarray, table: np.ndarray, state: np.ndarray, starts: np.ndarray, again: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Walk the columns of `lanes` (step by step, one lane a segment) from `state`; mark in `starts` where phrases begin.
+
+    With `again`, a lane stops at the first phrase that begins where one began in the walk before: from there on both are the
+    same. Returns the lanes' states at their ends and, with `again`, which lanes never met their earlier walk.
+    """
+    root = table[: own.max() + 1] & _LOW
+    live = np.arange(lanes.shape[1])
+    for step, column in enumerate(lanes):
+        symbol = own[column[live] if again else column]
+        found = table[state + symbol]
+        begins = (state == 0) | ((found >> 32) != state)  # the phrase before has ended; what the language lacks leads to the root
+        state = np.where(begins, root[symbol], found & _LOW)
+        if not again:
+            starts[step] = begins
+            continue
+        met = begins & starts[step, live]
+        starts[step, live] = begins
+        if met.any():
+            live, state = live[~met], state[~met]
+            if not len(live):
+                break
+    return state, live
+
+
+def _starts(lanes: np.ndarray, joined: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Where phrases begin in each lane when lanes that are `joined` go on where the lane before ends.
+
+    All lanes first walk from the root. A joined lane then walks again from the state that the lane before ends in, up to the
+    first phrase that both walks begin at the same symbol, mostly a few symbols on; where they never do, the lane after it
+    walks again too. The result is that of one walk through the whole text.
+    """
+    starts = np.zeros(lanes.shape, dtype=bool)
+    ends, _ = _walk(lanes, own, table, np.zeros(lanes.shape[1], dtype=np.int64), starts, False)
+    todo = np.flatnonzero(joined)
+    while len(todo):
+        part = np.ascontiguousarray(starts[:, todo])
+        state, unmet = _walk(lanes[:, todo], own, table, ends[todo - 1], part, True)
+        starts[:, todo] = part
+        changed = todo[unmet]
+        ends[changed] = state
+        after = changed + 1
+        after = after[after < len(joined)]
+        todo = after[joined[after]]
+    return starts
+
+
 def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text: phrases by language, number of symbols, and whether it has a letter."""
     parts = [_symbols(t, model.codes) for t in texts]
@@ -170,28 +218,21 @@ def phrases(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.
     letters = np.array([bool((p != 0).any()) for p in parts])
     rows = -(-sizes // SEGMENT)
     first = np.concatenate([[0], np.cumsum(rows)])
-    lanes = np.full((int(first[-1]), SEGMENT), model.symbols - 1, dtype=np.int32)
+    padding = model.symbols - 1
+    lanes = np.full((int(first[-1]), SEGMENT), padding, dtype=np.int32)
     flat = lanes.reshape(-1)
     for p, at in zip(parts, first[:-1].tolist(), strict=True):
         flat[at * SEGMENT : at * SEGMENT + len(p)] = p
     lanes = np.ascontiguousarray(lanes.T)
+    real = lanes != padding
+    joined = np.ones(lanes.shape[1], dtype=bool)
+    joined[first[:-1][rows > 0]] = False
     out = np.zeros((len(texts), len(model.langs)), dtype=np.int64)
     owner = np.repeat(np.arange(len(texts)), rows)
     for k, table in enumerate(model.tables):
-        own = model.local[k]
-        lacks = own == own.max() - 1  # each of these is a phrase
-        root = table[: own.max() + 1] & _LOW
-        state = np.zeros(lanes.shape[1], dtype=np.int64)
-        ended = np.zeros(lanes.shape[1], dtype=np.int32)
-        for column in lanes:
-            symbol = own[column]
-            found = table[state + symbol]
-            miss = (found >> 32) != state  # the phrase ends, another begins; padding and lacking symbols lead to the root
-            state = np.where(miss, root[symbol], found & _LOW)
-            ended += miss
-        ended += lacks[lanes].sum(axis=0, dtype=np.int32)
-        ended += state != 0
-        out[:, k] = np.bincount(owner, weights=ended, minlength=len(texts)).astype(np.int64) if len(owner) else 0
+        if len(owner):
+            began = (_starts(lanes, joined, model.local[k], table) & real).sum(axis=0)
+            out[:, k] = np.bincount(owner, weights=began, minlength=len(texts)).astype(np.int64)
     return out, sizes, letters
 
 

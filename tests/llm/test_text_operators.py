@@ -425,18 +425,37 @@ def test_phrases_are_greedy_longest_matches():
         sample = langid._symbols(" " + list(samples.values())[lang][0] + " ", model.codes).tolist()
         for i, t in enumerate(texts):
             s = langid._symbols(t, model.codes).tolist()
-            count = 0
-            for part in (s[a : a + langid.SEGMENT] for a in range(0, len(s), langid.SEGMENT)):
-                at = 0
-                while at < len(part):
-                    n = 0
-                    while at + n < len(part) and any(sample[k : k + n + 1] == part[at : at + n + 1] for k in range(len(sample))):
-                        n += 1
-                    at += max(n, 1)
-                    count += 1
+            count = at = 0
+            while at < len(s):  # through the whole text
+                n = 0
+                while at + n < len(s) and any(sample[k : k + n + 1] == s[at : at + n + 1] for k in range(len(sample))):
+                    n += 1
+                at += max(n, 1)
+                count += 1
             assert got[i, lang] == count
 
 
+def test_long_texts_are_one_parse():
+    """Segments are joined: the phrases of texts of 10,000 letters and more are those of one walk, also where none of a
+    segment's own phrases begins where the whole text's do."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcde"), rng.integers(1, 7))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    model = langid.train({"x": [text(200) for _ in range(20)], "y": ["abab" * 500, "z" * 900]})
+    texts = [text(3000), "", "z" * 2000, "ab" * 6000, text(5), text(200) + " 5 ñ q " * 300]
+    got, sizes, _ = langid.phrases(texts, model)
+    assert sizes[0] > 10_000
+    for k, table in enumerate(model.tables):
+        for i, t in enumerate(texts):
+            state = count = 0
+            for c in model.local[k][langid._symbols(t, model.codes)].tolist():
+                found = int(table[state + c])
+                if state == 0 or found >> 32 != state:
+                    count, found = count + 1, int(table[c])
+                state = found & langid._LOW
+            assert got[i, k] == count
+
+
 def _letters(first, n, step=1):
     return [c for c in map(chr, range(first, first + 4 * n * step, step)) if c.isalpha() and c == c.lower()][:n]
 
@@ -640,7 +659,8 @@ def test_cut():
 def test_hosts_paths_and_rules():
     assert urlfilter.split("HTTP://A.Example.NET/En/x?y#z") == ("a.example.net", "/En/x")
     assert urlfilter.split("x://h#f/") == ("h", "") and urlfilter.split(None) == ("", "") and urlfilter.split("no scheme") == ("", "")
-    rule = lambda u: urlfilter.match(*urlfilter.split(u), urlfilter.RULES)
+    known = urlfilter.Rules(urlfilter.RULES)
+    rule = lambda u: known.match(*urlfilter.split(u))
     assert rule("http://a.example.net/x") == "net/" and rule("http://example.net/en/1") == "example.net/en/"
     assert rule("http://notexample.com/de/") is None and rule("http://s.example.com/de/x") == "example.com/de/"
     assert rule("http://a.org/fr/1") == "org/fr/" and rule("http://a.org/fr") is None and rule("http://x.net") is None
