@@ -680,6 +680,54 @@ def test_url_filter(spark):
     assert urlfilter.filter_urls(docs.limit(0)).count() == 0
 
 
+def brute_rule(host, path, rules):
+    fit = []
+    for rule in rules:
+        at = rule.index("/")
+        h, p = rule[:at], rule[at:]
+        if ("." + host).endswith("." + h) and path[: len(p)] == p:
+            fit.append(rule)
+    return max(fit, key=lambda r: (len(r), r), default=None)
+
+
+def test_url_rules_over_the_whole_table(spark):
+    """Host, path, rule and the rules' verdicts of every page against a statement of the contract of its own."""
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    odd = ["https://EXAMPLE.net/en/a", "https://a.example.net/en", "https://notexample.net/en/", "https://x.org/fr/?a#b", "https://org/fr/", "ftp://example.com/de/#x", "https://example.com?/de/", "https://net", "://net/", "https://net./", "https://Ä.NET/x"]
+    extra = [(10_000 + i, u) for i, u in enumerate(odd)] + [(10_000, odd[0])] * 3
+    got = urlfilter.filter_urls(pages.unionByName(spark.createDataFrame(extra, "page_id long, url string"))).select("page_id", "host", "path", "rule", "verdict").collect()
+    want = []
+    for page, url in [*map(tuple, pages.collect()), *extra]:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host = re.sub("[A-Z]", lambda x: chr(ord(x.group()) + 32), m.group(1)) if m else ""
+        path = m.group(2) if m else ""
+        rule = brute_rule(host, path, rules)
+        want.append((page, host, path, rule, rules.get(rule)))
+    assert len(got) == len(want)
+    assert sorted((*map(repr, r[:4]), r[4]) for r in got if r[3]) == sorted((*map(repr, w[:4]), w[4]) for w in want if w[3])
+    assert sorted(map(repr, (tuple(r)[:4] for r in got))) == sorted(map(repr, (w[:4] for w in want)))
+    assert {r[4] for r in got} <= {"allow", "block"} and len({r for r in got if r[0] == 10_000}) == 1
+
+
+def test_url_rules_that_tie_and_long_urls(spark):
+    rules = {"a.b/": "allow", "b/xx": "block", "b/x": "allow", "c.a.b/": "block", "b/y/": "block"}
+    known = urlfilter.Rules(rules)
+    hosts = ["b", "a.b", "c.a.b", "d.c.a.b", ".b", "b.", "", "x.y.z.b", "ab", "a.b.c"]
+    for h in hosts:
+        for p in ["", "/", "/x", "/xx", "/xxx", "/y", "/y/z"]:
+            assert known.match(h, p) == brute_rule(h, p, rules)
+    long = "http://" + "a." * 300_000 + "net/" + "x" * 1_000_000 + "?" + "k=v&" * 100_000
+    got = urlfilter.filter_urls(spark.createDataFrame([(1, long), (2, long)], "page_id long, url string")).collect()
+    assert [(r.rule, r.verdict, len(r.path)) for r in got] == [("net/", "block", 1_000_001)] * 2
+
+
+def test_url_sample_is_bounded_and_the_same(spark):
+    many = spark.range(5000).select((F.col("id") % 4000).alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 4000, F.lit(".net/"), F.col("id") % 4000).alias("url"))
+    drawn = urlfilter.sample(many, urlfilter.RULES, 300)
+    assert len(drawn) == len(set(drawn)) == 300 and drawn == urlfilter.sample(many.repartition(7), urlfilter.RULES, 300)
+
+
 def test_trees_learn():
     x = RNG.random((2000, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.3)).astype(float)
