@@ -61,6 +61,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(folder: str):
+    """Arrow's file system for a folder's URI, and the folder's path in it."""
+    import pyarrow.fs as pafs
+
+    scheme, found, rest = folder.partition("://")
+    if found and scheme in ("s3a", "s3n"):  # Hadoop's names of what Arrow calls s3
+        folder = "s3://" + rest
+    fs, path = pafs.FileSystem.from_uri(folder)
+    return fs, path.rstrip("/")
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver drop what finished stages hold. Their shuffle files and broadcasts are deleted only once the driver has
     collected its garbage, which in a chain of many jobs may otherwise be never."""

@@ -1,24 +1,30 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised items, each text scanned once."""
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised items, each text scanned once.
+
+Executors build the automaton and write it to the shared folder. An item table beyond MAX_ITEM_BYTES has an automaton for each
+such part of it; a task scans a bounded buffer of its texts with one after the other and unites the hits, so the corpus is read
+once and nothing of it is shuffled, whatever the items' size, and a task holds one automaton and one buffer.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import pickle
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellbasis.llm.common import keep_rows, ready
+from cellbasis.llm.common import chunks, file_system, new_path, ready
+from cellbasis.llm.wordautomaton import Automaton
 
 WINDOW = 10
-#: Bytes of item text in one automaton, which takes some 350 times as many in memory. Beyond it items are dealt into groups,
-#: each with an automaton and a pass of its own, and the passes' hits are united: no item is left out.
-MAX_ITEM_BYTES = 1 << 18
+#: Bytes of item text in one automaton, which takes some 15 times as many in memory.
+MAX_ITEM_BYTES = 16 << 20
+BUFFER_CHARS = 32 << 20  # of texts that are scanned with each of several automata before the next is loaded
 
 #: A word: bytes of UTF-8 after A-Z became a-z. Bytes from \x80 are parts of other characters, which all count.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -31,45 +37,28 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall(text.encode("utf-8").lower()) if text else []
 
 
-def item_windows(items: list[tuple[str, str | None]], window: int) -> dict[bytes, tuple[int, set[str]]]:
-    """Each window of the items as ' word word ' with its number of words and the ids of the items that have it."""
-    out: dict[bytes, tuple[int, set[str]]] = {}
-    for item_id, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            part = words[i : i + window]
-            out.setdefault(b" " + b" ".join(part) + b" ", (len(part), set()))[1].add(item_id)
-    return out
-
-
-def build(items: list[tuple[str, str | None]], window: int) -> bytes:
-    """The pickled automaton of all windows. Latin-1 makes of each byte one character."""
-    automaton = ahocorasick.Automaton()
-    for key, (n, ids) in item_windows(items, window).items():
-        automaton.add_word(key.decode("latin-1"), (len(key), n, tuple(sorted(ids))))
-    if len(automaton):
-        automaton.make_automaton()
-    return pickle.dumps(automaton)
-
-
-def scan(text: str | None, automaton) -> tuple[int, np.ndarray | None, set[str]]:
-    """The number of words of `text`, which of them are hit (None: none), and the ids of the items found."""
-    words = words_of(text)
-    if not words or not len(automaton):
-        return len(words), None, set()
-    found = list(automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")))
-    if not found:
-        return len(words), None, set()
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    starts = np.cumsum(sizes) - sizes  # of each word's leading blank
-    edge = np.zeros(len(words) + 1, dtype=np.int64)
-    ids: set[str] = set()
-    for end, (size, n, items) in found:
-        at = int(np.searchsorted(starts, end - size + 1))
-        edge[at] += 1
-        edge[at + n] -= 1
-        ids.update(items)
-    return len(words), np.cumsum(edge[:-1]) > 0, ids
+def build(items: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> tuple[str, list[str]]:
+    """Build the automata of `items` (item_id, text) on the executors: the folder and the names of their files."""
+    spark = items.sparkSession
+    folder = new_path(spark, "automata")
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups = max(1, -(-total // max_item_bytes))
+
+    def make(table: pa.Table) -> pa.Table:
+        rows = zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True)
+        automaton = Automaton([(i, words_of(t)) for i, t in rows], window)
+        names = []
+        if automaton.sizes:
+            fs, path = file_system(folder)
+            fs.create_dir(path, recursive=True)
+            names.append(f"{uuid.uuid4().hex}.automaton")  # made anew by each attempt; a lost attempt's file is never listed
+            with fs.open_output_stream(f"{path}/{names[0]}", compression=None) as out:
+                out.write(pickle.dumps(automaton, protocol=5))
+        return pa.table({"name": pa.array(names, type=pa.string())})
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
+    return folder, sorted(r.name for r in dealt.groupBy("part").applyInArrow(make, "name string").collect())
 
 
 def spans_of(text: str, hit: np.ndarray) -> str:
@@ -86,9 +75,79 @@ def spans_of(text: str, hit: np.ndarray) -> str:
     return ",".join(f"{a}:{b}" for a, b in out)
 
 
-def _row(doc_id, text, n: int, hit: np.ndarray | None, ids: set[str]) -> tuple:
-    listed = hashlib.sha256(",".join(sorted(ids)).encode("utf-8")).hexdigest()
-    return doc_id, n, 0 if hit is None else int(hit.sum()), len(ids), listed, hit is not None, "" if hit is None else spans_of(text, hit)
+class Hits:
+    """What the windows found in one text: its number of words, stretches of hit words, ids of items."""
+
+    def __init__(self, n_words: int):
+        self.n_words, self.stretches, self.items = n_words, [], set()
+
+    def mask(self) -> np.ndarray:
+        edge = np.zeros(self.n_words + 1, dtype=np.int64)
+        for first, size in self.stretches:
+            edge += np.bincount(first, minlength=self.n_words + 1) - np.bincount(first + size, minlength=self.n_words + 1)
+        return np.cumsum(edge[:-1]) > 0
+
+
+def scan(texts: list[str | None], automata: Iterator[Automaton]) -> list[Hits]:
+    """The hits of each text with all `automata`, which are taken one after the other."""
+    out: list[Hits] = []
+    for automaton in automata:
+        new = not out
+        for a, b in chunks(texts, 1 << 20):
+            words = [words_of(t) for t in texts[a:b]]
+            if new:
+                out += [Hits(len(w)) for w in words]
+            numbers: list[int] = []
+            for w in words:
+                numbers += automaton.numbered(w)
+                numbers.append(-1)
+            first, size, code = automaton.scan(np.array(numbers, dtype=np.int32))
+            if not len(first):
+                continue
+            begins = np.cumsum([0] + [len(w) + 1 for w in words])
+            text = np.searchsorted(begins, first, side="right") - 1
+            order = np.argsort(text, kind="stable")
+            cuts = np.flatnonzero(np.diff(text[order], prepend=-1))
+            for mine in np.split(order, cuts[1:]):
+                hits, start = out[a + int(text[mine[0]])], begins[text[mine[0]]]
+                hits.stretches.append((first[mine] - start, size[mine]))
+                for c in np.unique(code[mine]).tolist():
+                    hits.items.update(automaton.items_of(c))
+    return out or [Hits(len(words_of(t))) for t in texts]
+
+
+def _loader(folder: str, names: list[str]) -> Callable[[], Iterator[Automaton]]:
+    """A function that yields the automata one after the other; a single one is loaded once and kept."""
+    kept: list[Automaton] = []
+
+    def load() -> Iterator[Automaton]:
+        if kept:
+            yield kept[0]
+            return
+        for name in names:
+            fs, path = file_system(folder)
+            with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
+                automaton = pickle.loads(f.read())
+            if len(names) == 1:
+                kept.append(automaton)
+            yield automaton
+
+    return load
+
+
+def _buffered(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Consecutive batches with up to about `limit` bytes of text in all, one at least."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        n = batch.column(column).nbytes
+        if held and size + n > limit:
+            yield held
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield held
 
 
 _ARROW = pa.schema(
@@ -96,6 +155,14 @@ _ARROW = pa.schema(
 )
 
 
+def _row(doc_id, text: str | None, hits: Hits) -> tuple:
+    listed = hashlib.sha256(",".join(sorted(hits.items)).encode("utf-8")).hexdigest()
+    if not hits.items:
+        return doc_id, hits.n_words, 0, 0, listed, False, ""
+    mask = hits.mask()
+    return doc_id, hits.n_words, int(mask.sum()), len(hits.items), listed, True, spans_of(text, mask)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs` with the words that any window of `items` (item_id, text) covers.
 
@@ -104,89 +171,38 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_i
     document is clean. Item ids are compared as strings (null: ''); an id that comes twice counts once. Rows repeated in
     `docs` give repeated rows. Other columns are ignored. `spans` gives the hit runs' offsets in the original text.
     """
-    spark = docs.sparkSession
-    ready(spark)
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(1, -(-total // max_item_bytes))
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if groups == 1:
-        return plain.mapInArrow(_scanner(spark, items, window), SCHEMA)
-    passes = []
-    for g in range(groups):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        passes.append(plain.mapInArrow(_scanner(spark, part, window, True), "doc_id long, text string, n_words long, hits array<int>, items array<string>"))
-    united = passes[0]
-    for p in passes[1:]:
-        united = united.unionByName(p)
-    by_text = united.groupBy("doc_id", F.xxhash64("text").alias("k"), F.sha2("text", 256).alias("s")).agg(
-        F.first("text").alias("text"), F.max("n_words").alias("n_words"), (F.count(F.lit(1)) / groups).cast("int").alias("times"),
-        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    return by_text.select("doc_id", "text", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("t")).drop("t").mapInArrow(_unite, SCHEMA)
-
-
-def clean_only(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, in which no window of `items` occurs."""
-    spark = docs.sparkSession
-    ready(spark)
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(1, -(-total // max_item_bytes))
-    out = docs
-    for g in range(groups):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        automaton = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in part.collect()], window))
-        out = keep_rows(out, text_col, _clean(automaton))
-    return out
-
-
-def _clean(automaton):
-    loaded: dict[int, object] = {}
-
-    def test(texts: list) -> list[bool]:
-        machine = loaded.get(0) or loaded.setdefault(0, pickle.loads(automaton.value))
-        return [scan(t, machine)[1] is None for t in texts]
-
-    return test
-
-
-def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            hit = None
-            if r["hits"]:
-                hit = np.zeros(r["n_words"], dtype=bool)
-                hit[r["hits"]] = True
-            rows.append(_row(r["doc_id"], r["text"], r["n_words"], hit, set(r["items"])))
-        yield _batch(rows)
+    ready(docs.sparkSession)
+    folder, names = build(items, window, max_item_bytes)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = _loader(folder, names)
+        for held in _buffered(batches, 1, BUFFER_CHARS if len(names) > 1 else 0):
+            texts = [t for b in held for t in b.column(1).to_pylist()]
+            ids = [i for b in held for i in b.column(0).to_pylist()]
+            rows = [_row(i, t, h) for i, t, h in zip(ids, texts, scan(texts, load()), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_ARROW), _ARROW, strict=True)], schema=_ARROW)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def _scanner(spark, items: DataFrame, window: int, raw: bool = False):
-    """The scanning function with the automaton of `items`, whose size the caller has bounded."""
-    automaton = spark.sparkContext.broadcast(build([(r.item_id, r.text) for r in items.collect()], window))
+def clean_only(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, in which no window of `items` occurs. Null texts and texts without words stay,
+    as do all rows where no item has words; repeated rows stay repeated, and an empty table is an empty result."""
+    ready(docs.sparkSession)
+    folder, names = build(items, window, max_item_bytes)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = pickle.loads(automaton.value)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            rows = []
-            for doc_id, cell in zip(ids, texts, strict=True):
-                text = cell.as_py()
-                n, hit, found = scan(text, machine)
-                rows.append((doc_id, text, n, [] if hit is None else np.flatnonzero(hit).tolist(), sorted(found)) if raw else _row(doc_id, text, n, hit, found))
-            if raw:
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["doc_id", "text", "n_words", "hits", "items"])
-            else:
-                yield _batch(rows)
-
-    return run
+        load = _loader(folder, names)
+        for held in _buffered(batches, at, BUFFER_CHARS if len(names) > 1 else 0):
+            hits = scan([t for b in held for t in b.column(at).to_pylist()], load())
+            clean = pa.array([not h.items for h in hits], type=pa.bool_())
+            first = 0
+            for batch in held:
+                yield batch.filter(clean.slice(first, len(batch)))
+                first += len(batch)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 ORACLE_SQL = r"""

@@ -22,11 +22,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellbasis.llm.common import attach, new_path, ready, written
+from cellbasis.llm.common import attach, file_system, new_path, ready, written
 
 LEAST_BYTES = 100  # smaller payloads are never stored as revisits
 FILE_BYTES = 256 << 20  # an archive is closed once it has so many
@@ -91,14 +90,6 @@ def _id_in(field: str) -> int | None:
     return int(said) if said else None
 
 
-def _open(folder: str):
-    scheme, found, rest = folder.partition("://")
-    if found and scheme in ("s3a", "s3n"):  # Hadoop's names of what Arrow calls s3
-        folder = "s3://" + rest
-    fs, path = pafs.FileSystem.from_uri(folder)
-    return fs, path.rstrip("/")
-
-
 @dataclass
 class Archive:
     """Where archives and index lie. `captures`: the capture table; `shards`: the index's upper level, sorted by key."""
@@ -130,7 +121,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     refers = F.when(large & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _open(folder)
+        fs, path = file_system(folder)
         fs.create_dir(path, recursive=True)
         out, name, at = None, "", 0
         try:
@@ -175,7 +166,7 @@ def _index(captures: DataFrame, folder: str) -> list[tuple[tuple[bytes, int], st
     ordered = captures.repartitionByRange(parts, "surt", "page").sortWithinPartitions("surt", "page", "file", "start")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _open(folder)
+        fs, path = file_system(folder)
         fs.create_dir(path, recursive=True)
         name = f"{uuid.uuid4().hex}.cdx"
         directory: list[tuple[str, int, int, int]] = []
@@ -213,7 +204,7 @@ class Reader:
     """Binary search through the index. Keeps the last shard's directory and the last block."""
 
     def __init__(self, folder: str, shards: list[tuple[tuple[bytes, int], str]]):
-        self.fs, self.path = _open(folder)
+        self.fs, self.path = file_system(folder)
         self.shards = shards
         self.keys = [k for k, _ in shards]
         self.file = self.name = None
@@ -295,7 +286,7 @@ def read_back(archive: Archive, found: DataFrame) -> DataFrame:
     folder = archive.folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _open(folder)
+        fs, path = file_system(folder)
         name, file = None, None
         for batch in batches:
             rows = []

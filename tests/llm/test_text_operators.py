@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cellbasis.llm import common, decontaminate, exact_dedup, langid, line_dedup, minhash, packing, pii, substring_dedup, urlfilter, warc
+from cellbasis.llm.wordautomaton import Automaton
 
 SOUP = "the quick brown fox jumps over a lazy dog while seven grey wolves sing under cold stars and nobody listens to them at all tonight".split()
 RNG = np.random.default_rng(11)
@@ -347,6 +348,44 @@ def test_decontamination(spark, limit):
     assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((b[0] for b in brute_leaks(LEAKY, ITEMS) if not b[5]), key=repr)
 
 
+def brute_windows(items, text, window):
+    out = set()
+    for item, words in items:
+        n = min(window, len(words))
+        out |= {(j, n, item) for k in range(len(words) - n + 1) for j in range(len(text) - n + 1) if n and text[j : j + n] == words[k : k + n]}
+    return out
+
+
+def test_word_automaton_finds_every_occurrence():
+    rng = np.random.default_rng(11)
+    for _ in range(150):
+        window, kinds = int(rng.integers(1, 6)), int(rng.integers(1, 7))
+        draw = lambda n, more=0: [b"%d" % v for v in rng.integers(0, kinds + more, n)]  # noqa: B023, E731
+        items = [(str(rng.integers(4)), draw(rng.integers(10))) for _ in range(rng.integers(6))]
+        automaton = Automaton(items, window)
+        texts = [draw(n, int(rng.integers(2))) for n in (0, 3, 400)]
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        first, size, code = automaton.scan(np.array([n for t in texts for n in [*automaton.numbered(t), -1]], dtype=np.int32))
+        got = [set() for _ in texts]
+        for a, n, c in zip(first.tolist(), size.tolist(), code.tolist(), strict=True):
+            k = int(np.searchsorted(starts, a, side="right")) - 1
+            got[k] |= {(a - int(starts[k]), n, i) for i in automaton.items_of(c)}
+        assert got == [brute_windows(items, t, window) for t in texts]
+
+
+def test_large_benchmarks_take_one_pass(spark):
+    """5 MB of items in several automata: every planted window is found, the corpus is read once and nothing of it is shuffled."""
+    rng = np.random.default_rng(12)
+    vocabulary = np.array([f"w{i}" for i in range(30_000)])
+    items = [(i, " ".join(rng.choice(vocabulary, 900))) for i in range(1000)]
+    assert sum(len(t) for _, t in items) > 5e6
+    docs = [(i, " ".join([*rng.choice(vocabulary, 50), *(items[i * 37 % 1000][1].split()[5:20] if i % 3 == 0 else [])])) for i in range(60)]
+    table = pd.DataFrame(items, columns=["item_id", "text"])
+    got = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(table), max_item_bytes=2 << 20)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in got.collect()} == {(i, 15 if i % 3 == 0 else 0, int(i % 3 == 0)) for i, _ in docs}
+
+
 def test_decontamination_spans_and_empty_sides(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     text = "say: Tiny, item! ok"
