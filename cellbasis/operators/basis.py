@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellbasis.functions.grid import Grid
 from cellbasis.functions.refusals import BasisRefusal, CompareRefusal
 from cellbasis.functions.scalars import INTERPOLATED, MEASURED, UNDETERMINED, ratio
-from cellbasis.operators.neighbours import nearest_within, reach, within
+from cellbasis.operators.neighbours import nearest_within, reach, shore, within
 
 
 def basis(cells: DataFrame, grid: Grid, is_ground: str = "is_ground", least_returns: int = 1, distance: float = 2.0, check: bool = True) -> DataFrame:
@@ -19,12 +19,14 @@ def basis(cells: DataFrame, grid: Grid, is_ground: str = "is_ground", least_retu
     """
     radius = reach(distance, grid.cell)
     measured = F.coalesce(F.col(is_ground), F.lit(False)) & (F.col("n_all") >= least_returns)
-    sources = cells.where(measured).select("row", "col")
-    if check and not sources.take(1):
+    if check and not cells.where(measured).take(1):
         raise BasisRefusal("no cell is measured: nothing to interpolate from")
+    sources = shore(cells.select("row", "col", measured.alias("__source")), "__source")
     near = nearest_within(sources, grid, radius).where(within(F.col("d2"), grid.cell, distance))
     code = F.when(measured, MEASURED).when(F.col("d2").isNotNull(), INTERPOLATED).otherwise(UNDETERMINED).cast("tinyint")
-    return cells.join(near, ["row", "col"], "left").withColumn("basis", code).drop("d2")
+    out = cells.join(near, ["row", "col"], "left").withColumn("basis", code).drop("d2")
+    own = lambda at, src: F.when(measured, F.col(at)).otherwise(F.col(src))
+    return out.withColumns({"src_row": own("row", "src_row"), "src_col": own("col", "src_col")})
 
 
 def surfaces(cells: DataFrame) -> DataFrame:

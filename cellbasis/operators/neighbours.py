@@ -46,6 +46,19 @@ def nearest_within(sources: DataFrame, grid: Grid, radius: float) -> DataFrame:
     )
 
 
+def shore(cells: DataFrame, source: str) -> DataFrame:
+    """(row, col) of the sources of a dense frame with a cell beside them, corners included, that is none.
+
+    No other source is the nearest of a cell that is none: of a source's neighbours the one on the way to that cell is nearer. So
+    only these need to be spread, which follow the length of the gaps' rims and not the area.
+    """
+    across = Window.partitionBy("row").orderBy("col").rangeBetween(-1, 1)
+    down = Window.partitionBy("col").orderBy("row").rangeBetween(-1, 1)
+    marked = cells.select("row", "col", F.col(source).alias("__s"), F.min(F.col(source).cast("int")).over(across).alias("__m"))
+    marked = marked.withColumn("__m", F.min("__m").over(down))
+    return marked.where(F.col("__s") & (F.col("__m") == 0)).select("row", "col")
+
+
 def _targets(cells: DataFrame, voids: DataFrame, radius: int, grid: Grid) -> DataFrame:
     """Known cells around each void, out to `radius` cells."""
     spread = _exploded(voids.select("row", "col"), offsets(radius), grid)
