@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,29 +24,32 @@ def plane_rms(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> float:
 
 
 def plane_residual(cells: DataFrame, at: DataFrame, grid: Grid, value: str, window: int = 7) -> DataFrame:
-    """(row, col, residual) at the cells of `at`, from the known values of their windows.
+    """(row, col, residual) at the cells of `at`: the RMS distance of the known values of their windows from the least-squares plane.
 
-    Only the candidates are spread over their window: `at` is exploded and joined with the known cells, so cells
-    nobody asked about never move. Each group is one window.
+    Only the candidates are spread over their window: `at` is exploded and joined with the known cells, so cells nobody asked
+    about never move. The fit is in closed form over moments, in one aggregate with partial results on the map side. Offsets are
+    whole numbers, so whether a window's cells lie on one line is told exactly; there, as any plane through the line fits alike, the
+    residual is that of a regression along it. NULL below four known cells.
     """
     r = window // 2
     offsets = F.sequence(F.lit(-r), F.lit(r))
     spread = at.select("row", "col", F.explode(offsets).alias("dr")).select("*", F.explode(offsets).alias("dc"))
     known = cells.where(F.col(value).isNotNull()).select((F.col("row")).alias("__r"), F.col("col").alias("__c"), F.col(value).cast("double").alias("z"))
     spread = spread.join(known, (F.col("row") + F.col("dr") == F.col("__r")) & (F.col("col") + F.col("dc") == F.col("__c")))
-    points = spread.groupBy("row", "col").agg(F.sort_array(F.collect_list(F.struct("dr", "dc", "z"))).alias("points"))
-    cell = grid.cell
-
-    def run(batches):
-        for part in batches:
-            out = []
-            for some in part["points"]:
-                a = np.array([(p["dc"], p["dr"], p["z"]) for p in some], dtype=float).reshape(-1, 3)
-                out.append(plane_rms(a[:, 0] * cell, a[:, 1] * cell, a[:, 2]))
-            yield pd.DataFrame({"row": part["row"], "col": part["col"], "residual": out})
-
-    fits = points.mapInPandas(run, "row int, col int, residual double")
-    fits = fits.withColumn("residual", F.when(~F.isnan("residual"), F.col("residual")))
+    x, y = F.col("dc").cast("long"), F.col("dr").cast("long")
+    m = spread.groupBy("row", "col").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"), F.sum(y * y).alias("yy"),
+        F.covar_pop("dc", "z").alias("xz"), F.covar_pop("dr", "z").alias("yz"), F.var_pop("z").alias("zz"),
+    )
+    c = F.col
+    # whole numbers: n squared times the offsets' variances and covariance
+    m = m.select("row", "col", "n", "xz", "yz", "zz", (c("n") * c("xx") - c("x") * c("x")).alias("a"), (c("n") * c("xy") - c("x") * c("y")).alias("b"), (c("n") * c("yy") - c("y") * c("y")).alias("d"))
+    n2 = (c("n") * c("n")).cast("double")
+    det = c("a") * c("d") - c("b") * c("b")
+    plane = (c("xz") * (c("xz") * c("d") - c("yz") * c("b")) + c("yz") * (c("yz") * c("a") - c("xz") * c("b"))) * n2 / F.nullif(det, F.lit(0).cast("long"))
+    line = F.coalesce(c("xz") * c("xz") * n2 / F.nullif(c("a"), F.lit(0).cast("long")), c("yz") * c("yz") * n2 / F.nullif(c("d"), F.lit(0).cast("long")), F.lit(0.0))
+    residual = F.sqrt(F.greatest(F.lit(0.0), c("zz") - F.coalesce(plane, line)))
+    fits = m.select("row", "col", F.when(c("n") >= 4, residual).alias("residual"))
     return at.select("row", "col").join(fits, ["row", "col"], "left")
 
 
