@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellbasis.functions.grid import Grid
-from cellbasis.operators.accumulate import cell_stats
+from cellbasis.operators.accumulate import cell_stats, outside_count
 from cellbasis.operators.catalogue import GAP_HOURS
+from cellbasis.plans.session import new_path
 from cellbasis.sources.returns import checked, without_noise
 
 
@@ -22,11 +23,27 @@ def stream_fold(returns: DataFrame, grid: Grid) -> DataFrame:
     return cell_stats(without_noise(returns), grid)
 
 
+def outside_stream(returns: DataFrame, grid: Grid) -> DataFrame:
+    """Streaming counts of the returns that the grid holds and of those that it doesn't: one row of state."""
+    return outside_count(without_noise(returns), grid)
+
+
 def drain(frame: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming frame over what there is into a table in memory, and return that."""
-    query = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a streaming frame over what there is into a Parquet table in the shared folder, and return that: the last micro-batch's
+    result in complete mode, all that was ever emitted in append mode. State and progress are kept in the shared folder too."""
+    spark = frame.sparkSession
+    at = new_path(spark, name)
+    schema = frame.schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        # a batch that runs again overwrites what it wrote before
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}" if mode == "append" else f"{at}/rows")
+
+    query = frame.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return frame.sparkSession.table(name)
+    if query.lastProgress is None:  # nothing ever came: no batch ran
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*([f"{at}/rows/*"] if mode == "append" else [f"{at}/rows"]))
 
 
 def guarded(boxes: DataFrame, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
