@@ -53,7 +53,13 @@ _COARSE = (*_CELLS, "blocks", "cgrid", "coarse")
 
 
 def _with(parts: tuple[str, ...], *more: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join([*(_PARTS[p] for p in parts), *more]) + "\n"
+    """The parts as common table expressions, each computed once however often it is used; one that refers to itself stays as it is."""
+    listed = [*(_PARTS[p] for p in parts), *more]
+    once = []
+    for part in listed:
+        name, _, body = part.partition(" AS ")
+        once.append(part if recursive and f"FROM {name}" in body else f"{name} AS MATERIALIZED {body}")
+    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(once) + "\n"
 
 
 def _around(source: str, r: int, where: str = "true") -> str:
