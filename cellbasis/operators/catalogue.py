@@ -99,9 +99,11 @@ def select_tiles(tiles: DataFrame, box: Box, allow_mixed: bool = False, min_cove
     if (box[2] - box[0]) * (box[3] - box[1]) <= 0:
         raise SelectionRefusal(f"empty area {box}")
     out = chosen(tiles, box, gap_hours).persist()
-    facts = out.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("crs_epsg")).alias("crs")).first()
+    facts = out.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("crs_epsg")).alias("crs"), F.count_if(F.col("crs_epsg").isNull()).alias("unnamed")).first()
     if not facts["n"]:
         raise SelectionRefusal(f"no tile overlaps {box}")
+    if facts["unnamed"]:
+        raise SelectionRefusal(f"{facts['unnamed']} tile(s) name no system of coordinates")
     if len(facts["crs"]) > 1:
         raise SelectionRefusal(f"the tiles are in several systems: {facts['crs']}")
     kept = out.where("kept")

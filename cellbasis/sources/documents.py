@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +61,22 @@ def epsg_of_wkt(wkt: str) -> int:
     raise CatalogueRefusal("the WKT matches no known code; refusing to assume one")
 
 
+def system_codes(wkts: DataFrame) -> DataFrame:
+    """(wkt, crs_epsg, refused) of a table of distinct texts: the code, or why there is none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = []
+            for wkt in part["wkt"]:
+                try:
+                    rows.append((wkt, epsg_of_wkt(wkt), None))
+                except CatalogueRefusal as e:
+                    rows.append((wkt, None, str(e)))
+            yield pd.DataFrame(rows, columns=["wkt", "crs_epsg", "refused"]).astype({"crs_epsg": "Int32"})
+
+    return wkts.mapInPandas(run, "wkt string, crs_epsg int, refused string").persist()
+
+
 def parse_search(bodies: DataFrame, column: str, limit: int) -> DataFrame:
     """Catalogue tiles of search responses (JSON text in `column`); refuses pages that may be cut off and items that lack a part."""
     parsed = bodies.select(F.from_json(column, RESPONSE).alias("r")).persist()
@@ -77,12 +94,14 @@ def parse_search(bodies: DataFrame, column: str, limit: int) -> DataFrame:
     bad = items.select(F.col("i.id").alias("id"), lacking.alias("lacking")).where(F.size("lacking") > 0).first()
     if bad:
         raise CatalogueRefusal(f"item {bad['id']!r} has no {', '.join(bad['lacking'])}")
-    wkts = [r[0] for r in items.select(p("proj:wkt2")).distinct().limit(1000).collect()]
-    codes = F.create_map(*[F.lit(x) for w in wkts for x in (w, epsg_of_wkt(w))]) if wkts else F.create_map()
-    out = items.withColumn("b", flat_box(p("proj:bbox")))
+    systems = system_codes(items.select(p("proj:wkt2").alias("wkt")).distinct())
+    unknown = systems.where(F.col("refused").isNotNull()).orderBy("wkt").first()
+    if unknown:
+        raise CatalogueRefusal(unknown["refused"])
+    out = items.withColumns({"b": flat_box(p("proj:bbox")), "wkt": p("proj:wkt2")}).join(systems, "wkt")
     return out.select(
         F.col("i.id").alias("item_id"), F.coalesce(F.col("i.collection"), F.lit("")).alias("collection"), "b.minx", "b.miny", "b.maxx", "b.maxy",
-        (codes[p("proj:wkt2")] if wkts else F.lit(None)).cast("int").alias("crs_epsg"), p("pc:count").alias("point_count"), p("datetime").alias("flight_date"),
+        "crs_epsg", p("pc:count").alias("point_count"), p("datetime").alias("flight_date"),
         p("file:size").alias("file_size"), F.col("i.assets.data.href").alias("href"),
     )
 

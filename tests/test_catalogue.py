@@ -10,56 +10,73 @@ from cellbasis.functions.refusals import AoiRefusal, CatalogueRefusal, PrecheckR
 from cellbasis.operators import catalogue
 from cellbasis.sources import documents
 
-AOI = (48200.0, 169200.0, 50200.0, 171200.0)
 NAMED = 'PROJCS["ETRS89_Portugal_TM06",GEOGCS["ETRS89",AUTHORITY["EPSG","4258"]],UNIT["metre",1,AUTHORITY["EPSG","9001"]]]'
 TAGGED = 'PROJCS["x",GEOGCS["ETRS89",AUTHORITY["EPSG","4258"]],UNIT["metre",1,AUTHORITY["EPSG","9001"]],AUTHORITY["EPSG","3763"]]'
 
+# a strip of five tiles, 400 wide and 250 high, in UTM; the area ends within the first and the last
+AREA = (500150.0, 4600020.0, 501900.0, 4600240.0)
+EVENING, NEXT_EVENING = "2023-09-11 19:30:00", "2023-09-12 19:30:00"
 
-def tiles(spark, span=1000.0, stamps=None, extra=(), crs=None):
+
+def strip(spark, wide=400.0, **columns):
+    """The strip's tiles s0 .. s4; `columns` replaces a column's values by tile number."""
     rows = []
-    for i in range(3):
-        for j in range(3):
-            k = 3 * i + j
-            rows.append((f"t{k}", 48000.0 + 1000 * i, 169000.0 + 1000 * j, 48000.0 + 1000 * i + span, 169000.0 + 1000 * j + span, (crs or {}).get(k, 3763), 20_000_000, (stamps or {}).get(k, "2024-07-01 22:00:00")))
-    rows += extra
-    frame = spark.createDataFrame(rows, "item_id string, minx double, miny double, maxx double, maxy double, crs_epsg int, point_count long, s string")
-    return frame.withColumn("stamp", F.to_timestamp("s")).drop("s")
-
-
-def test_full_lattice_covers(spark):
-    got = catalogue.select_tiles(tiles(spark), AOI)
-    assert got.covered_fraction == 1.0 and got.sorties == 1 and not got.mixed_epochs and got.dropped == []
-    assert [r.item_id for r in got.tiles.collect()] == [f"t{k}" for k in range(9)]
-
-
-def test_seams_are_measured_and_overlaps_not_counted_twice(spark):
-    seams = catalogue.covered_area(tiles(spark, 999.999), AOI).first()
-    assert 0.999 < seams.fraction < 1.0
-    double = catalogue.covered_area(tiles(spark, 1100.0), AOI).first()
-    assert double.fraction == 1.0 and double.covered == 4_000_000.0
-
-
-def test_one_acquisition_of_each_footprint_stays(spark):
-    twice = ("again", 48000.0004, 169000.0, 49000.0, 170000.0, 3763, 1, "2023-07-01 22:00:00")
-    got = catalogue.select_tiles(tiles(spark, extra=[twice]), AOI)
-    assert got.dropped == ["again"] and got.sorties == 1
-
-
-def test_selection_refusals(spark):
-    with pytest.raises(SelectionRefusal, match="empty"):
-        catalogue.select_tiles(tiles(spark), (0, 0, 0, 1))
-    with pytest.raises(SelectionRefusal, match="no tile"):
-        catalogue.select_tiles(tiles(spark), (0, 0, 1, 1))
-    with pytest.raises(SelectionRefusal, match="several systems"):
-        catalogue.select_tiles(tiles(spark, crs={4: 32629}), AOI)
-    mixed = tiles(spark, stamps={4: "2024-07-02 22:00:00"})
-    with pytest.raises(SelectionRefusal, match="sorties"):
-        catalogue.select_tiles(mixed, AOI)
-    assert catalogue.select_tiles(mixed, AOI, allow_mixed=True).mixed_epochs
-    with pytest.raises(SelectionRefusal, match="cover"):
-        catalogue.select_tiles(tiles(spark).where("item_id != 't4'"), AOI)
-    with pytest.raises(SelectionRefusal, match="km2"):
-        catalogue.select_tiles(tiles(spark), AOI, max_km2=1.0)
+    for k in range(5):
+        left = 500000.0 + 400.0 * k
+        row = {"item_id": f"s{k}", "minx": left, "miny": 4600000.0, "maxx": left + wide, "maxy": 4600250.0, "crs_epsg": 32629, "point_count": 1_500_000, "s": EVENING}
+        rows.append(tuple((row | {c: v[k] for c, v in columns.items() if k in v}).values()))
+    return _frame(spark, rows)
+
+
+def _frame(spark, rows):
+    made = spark.createDataFrame(rows, "item_id string, minx double, miny double, maxx double, maxy double, crs_epsg int, point_count long, s string")
+    return made.withColumn("stamp", F.to_timestamp("s")).drop("s")
+
+
+def test_an_area_within_the_strip_takes_all_of_it(spark):
+    got = catalogue.select_tiles(strip(spark), AREA)
+    assert (got.covered_fraction, got.sorties, got.mixed_epochs, got.dropped) == (1.0, 1, False, [])
+    assert [r.item_id for r in got.tiles.collect()] == ["s0", "s1", "s2", "s3", "s4"]
+    middle = catalogue.select_tiles(strip(spark), (500410.0, 4600010.0, 500790.0, 4600030.0))
+    assert [r.item_id for r in middle.tiles.collect()] == ["s1"]  # edges that only touch don't count
+
+
+@pytest.mark.parametrize("wide, fraction", [(400.0, 1.0), (640.0, 1.0), (300.0, 1350 / 1750), (399.5, 1748 / 1750)])
+def test_coverage_is_that_of_the_union(spark, wide, fraction):
+    """Gaps between tiles count however thin; what several tiles hold counts once."""
+    got = catalogue.covered_area(strip(spark, wide), AREA).first()
+    assert got.fraction == pytest.approx(fraction, abs=1e-12) and got.covered == pytest.approx(fraction * 1750 * 220)
+
+
+def test_of_two_flights_over_one_footprint_the_main_flight_stays(spark):
+    older = _frame(spark, [("a-first", 500400.0003, 4600000.0002, 500800.0, 4600250.0, 32629, 7, NEXT_EVENING)])
+    got = catalogue.select_tiles(strip(spark).unionByName(older), AREA)
+    assert got.dropped == ["a-first"] and got.sorties == 1 and got.tiles.count() == 5
+    twin = _frame(spark, [("r", 500400.0, 4600000.0, 500800.0, 4600250.0, 32629, 7, EVENING)])
+    assert catalogue.select_tiles(strip(spark).unionByName(twin), AREA).dropped == ["s1"]  # same flight: the first name stays
+
+
+REFUSED = {
+    "an area without extent": (dict(), (500150.0, 4600020.0, 500150.0, 4600240.0), dict(), "empty"),
+    "an area elsewhere": (dict(), (1.0, 1.0, 2.0, 2.0), dict(), "no tile"),
+    "two systems": (dict(crs_epsg={3: 25829}), AREA, dict(), "several systems"),
+    "no system": (dict(crs_epsg={2: None}), AREA, dict(), "name no system"),
+    "two flights": (dict(s={0: NEXT_EVENING}), AREA, dict(), "sorties"),
+    "a tile too narrow": (dict(maxx={2: 501100.0}), AREA, dict(), "cover"),
+    "too much": (dict(), AREA, dict(max_km2=0.49), "km2"),
+}
+
+
+@pytest.mark.parametrize("case", REFUSED)
+def test_selections_that_are_refused(spark, case):
+    columns, box, options, why = REFUSED[case]
+    with pytest.raises(SelectionRefusal, match=why):
+        catalogue.select_tiles(strip(spark, **columns), box, **options)
+
+
+def test_two_flights_can_be_allowed(spark):
+    got = catalogue.select_tiles(strip(spark, s={0: NEXT_EVENING}), AREA, allow_mixed=True)
+    assert got.mixed_epochs and got.sorties == 2 and got.covered_fraction == 1.0
 
 
 def test_gap_is_strict(spark):
@@ -79,22 +96,32 @@ def test_stamps_need_an_offset(spark):
 
 
 def test_precheck(spark):
-    out = catalogue.precheck(tiles(spark), 0.5, 0.4)
-    assert out.count() == 9 and out.first().void_at_f == pytest.approx(math.exp(-20 * 0.25 * 0.4))
-    thin = tiles(spark).withColumn("point_count", F.lit(100))
-    with pytest.raises(PrecheckRefusal, match="t0"):
+    dense = 1_500_000 / (400 * 250)
+    out = catalogue.precheck(strip(spark), 0.5, 0.4)
+    assert out.count() == 5 and out.first().void_at_f == pytest.approx(math.exp(-dense * 0.25 * 0.4))
+    thin = strip(spark, point_count={1: 100_000, 3: 100_000})
+    with pytest.raises(PrecheckRefusal, match="s1"):
         catalogue.precheck(thin, 0.5, 0.4)
-    assert catalogue.precheck(thin, 0.5, 0.4, allow_sparse=True).count() == 9
-    for bad in (0.0, 1.0, 5.0, float("nan")):
+    assert catalogue.precheck(thin, 0.5, 0.4, allow_sparse=True).count() == 5
+    for bad in (-0.1, 0.0, 1.0, float("inf"), float("nan")):
         with pytest.raises(PrecheckRefusal, match="ceiling"):
             catalogue.precheck(thin, 0.5, 0.4, ceiling=bad)
 
 
 def test_tiles_without_an_entry_are_refused(spark):
-    read = spark.createDataFrame([("t0", 1), ("zz", 2)], "item_id string, n int")
-    with pytest.raises(SelectionRefusal, match="zz"):
-        catalogue.with_catalogue(read, tiles(spark))
-    assert catalogue.with_catalogue(read.where("n = 1"), tiles(spark)).first().point_count == 20_000_000
+    read = spark.createDataFrame([("s4", 1), ("unheard", 2)], "item_id string, n int")
+    with pytest.raises(SelectionRefusal, match="unheard"):
+        catalogue.with_catalogue(read, strip(spark))
+    assert catalogue.with_catalogue(read.where("n = 1"), strip(spark)).first().point_count == 1_500_000
+
+
+def test_every_system_of_a_response_is_read(spark):
+    """However many texts name it: none is left without a code."""
+    texts = [NAMED.replace("UNIT", f'REMARK["{k}"],UNIT') for k in range(1100)]
+    got = documents.system_codes(spark.createDataFrame([(t,) for t in texts], "wkt string"))
+    assert got.where("crs_epsg = 3763").count() == 1100
+    with pytest.raises(CatalogueRefusal, match="no known code"):
+        documents.parse_search(bodies(spark, item(), item(**{"proj:wkt2": 'PROJCS["unheard"]'})), "body", 10)
 
 
 def item(**change):
