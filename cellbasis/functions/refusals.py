@@ -21,6 +21,10 @@ class ReadRefusal(Refusal):
     """A file or table of returns cannot be trusted."""
 
 
+class EmptyFolder(ReadRefusal):
+    """There is nothing to read."""
+
+
 class FilterRefusal(Refusal):
     """A ground filter was given lengths or a surface it cannot work on."""
 
@@ -41,6 +45,10 @@ class SelectionRefusal(CatalogueRefusal):
     """The tiles on offer do not make an area to work on."""
 
 
+class NotSelected(SelectionRefusal):
+    """A tile was read that the selection does not name."""
+
+
 class PrecheckRefusal(Refusal):
     """The data cannot support the product asked for."""
 

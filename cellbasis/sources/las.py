@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellbasis.functions.refusals import ReadRefusal
+from cellbasis.functions.refusals import EmptyFolder, ReadRefusal
 
-SCHEMA = "tile_id string, point_idx long, x double, y double, z double, classification smallint, return_number smallint, number_of_returns smallint, crs_epsg int, sha256 string"
+SCHEMA = "tile_id string, point_idx long, x double, y double, z double, classification smallint, return_number smallint, number_of_returns smallint"
+FILES = "tile_id string, sha256 string, crs_epsg int, points long"
 _GEO_KEYS, _WKT = 34735, 2112
 _SLICE = 1 << 18  # points to a batch
 
@@ -62,17 +65,38 @@ def points(data: bytes, head: dict, first: int, n: int) -> dict[str, np.ndarray]
     return out
 
 
+def _contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(tile_id, content) of the folder's *.las files, not of folders below it; a folder without any is refused."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(folder)
+    if not files.select("path").take(1):
+        raise EmptyFolder(f"no .las files in {folder}")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.las$", 1).alias("tile_id"), "content")
+
+
+def digests(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """(name, bytes, sha256) of the folder's files that match."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a file: tile, digest, system and the number of points that its header declares."""
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found = [header(data, tile) for tile, data in zip(part["tile_id"], part["content"], strict=True)]
+            yield pd.DataFrame({"tile_id": part["tile_id"], "sha256": part["sha256"], "crs_epsg": [h["epsg"] for h in found], "points": [h["count"] for h in found]})
+
+    return _contents(spark, folder).withColumn("sha256", F.sha2("content", 256)).mapInPandas(heads, FILES)
+
+
 def read(spark: SparkSession, folder: str, epsg: int | None = None) -> DataFrame:
     """The returns of the folder's *.las files, not of folders below it. A file is one row of `binaryFile`, so a task holds a
     tile at a time; points leave it in slices. Refuses what has no or another system than `epsg`, and a folder without files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(folder)
-    if not files.select("path").take(1):
-        raise ReadRefusal(f"no .las files in {folder}")
-    files = files.select(F.regexp_extract("path", r"([^/]+)\.las$", 1).alias("tile_id"), "content", F.sha2("content", 256).alias("sha256"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            for tile, data, digest in part.itertuples(index=False):
+            for tile, data in part.itertuples(index=False):
                 head = header(data, tile)
                 if epsg is not None and head["epsg"] != epsg:
                     raise ReadRefusal(f"{tile} declares EPSG:{head['epsg']}, EPSG:{epsg} is expected")
@@ -81,9 +105,30 @@ def read(spark: SparkSession, folder: str, epsg: int | None = None) -> DataFrame
                 for first in range(0, head["count"], _SLICE):
                     n = min(_SLICE, head["count"] - first)
                     p = points(data, head, first, n)
-                    yield pd.DataFrame({"tile_id": tile, "point_idx": np.arange(first, first + n), **p, "crs_epsg": np.int32(head["epsg"]), "sha256": digest})[[c.split()[0] for c in SCHEMA.split(", ")]]
-
-    return files.mapInPandas(decode, SCHEMA)
+                    yield pd.DataFrame({"tile_id": tile, "point_idx": np.arange(first, first + n), **p})[[c.split()[0] for c in SCHEMA.split(", ")]]
+
+    return _contents(spark, folder).mapInPandas(decode, SCHEMA)
+
+
+def write(returns: DataFrame, folder: str, epsg: int, scale: float = 0.01) -> DataFrame:
+    """Each tile of `returns` as a file of the folder, which all executors reach: (tile_id, bytes). A task holds one tile."""
+    scheme, found, rest = folder.partition("://")
+    where = f"s3://{rest}" if found and scheme in ("s3a", "s3n") else folder
+
+    def put(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["point_idx", "x", "y", "z"] if "point_idx" in part else ["x", "y", "z"])
+        a = {c: part[c].to_numpy() for c in ("x", "y", "z", "classification", "return_number", "number_of_returns")}
+        data = encode(a["x"], a["y"], a["z"], a["classification"].astype(np.uint8), epsg, a["return_number"].astype(np.uint8), a["number_of_returns"].astype(np.uint8), scale)
+        fs, path = pafs.FileSystem.from_uri(where)
+        fs.create_dir(path, recursive=True)
+        tile = part["tile_id"].iloc[0]
+        half = f"{path}/{tile}.{uuid.uuid4().hex}.part"  # no reader takes what a lost attempt leaves for a file
+        with fs.open_output_stream(half, compression=None) as out:
+            out.write(data)
+        fs.move(half, f"{path}/{tile}.las")
+        return pd.DataFrame({"tile_id": [tile], "bytes": [len(data)]})
+
+    return returns.groupBy("tile_id").applyInPandas(put, "tile_id string, bytes long")
 
 
 def encode(x: np.ndarray, y: np.ndarray, z: np.ndarray, classification: np.ndarray, epsg: int | None, return_number: np.ndarray | None = None, number_of_returns: np.ndarray | None = None, scale: float = 0.01) -> bytes:

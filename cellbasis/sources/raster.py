@@ -63,13 +63,37 @@ def decode(data: bytes) -> Raster:
     return Raster(out, nodata, f[33550][0] if 33550 in f else None, (f[33922][3], f[33922][4]) if 33922 in f else None)
 
 
+def _images(spark: SparkSession, folder: str) -> DataFrame:
+    """(band, content) of the folder's *.tif files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("band"), "content")
+
+
+def band_names(spark: SparkSession, folder: str) -> list[str]:
+    return sorted(r.band for r in _images(spark, folder).select("band").collect())
+
+
+def headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(band, rows, cols, nodata, cell, origin_x, origin_y, nans): what each image file says of itself, and how many of its values are not
+    numbers. Such values have no place in a file with a sentinel."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for name, data in part.itertuples(index=False):
+                r = decode(data)
+                nans = int(np.isnan(r.band).sum()) if r.band.dtype.kind == "f" else 0
+                x, y = r.origin or (None, None)
+                yield pd.DataFrame({"band": [name], "rows": [r.band.shape[0]], "cols": [r.band.shape[1]], "nodata": [r.nodata], "cell": [r.cell], "origin_x": [x], "origin_y": [y], "nans": [nans]}).astype({c: "float64" for c in ("nodata", "cell", "origin_x", "origin_y")})
+
+    return _images(spark, folder).mapInPandas(run, "band string, rows int, cols int, nodata double, cell double, origin_x double, origin_y double, nans long")
+
+
 def read_bands(spark: SparkSession, folder: str) -> DataFrame:
     """(band, row, col, value) of the folder's *.tif files, one task a file; missing cells are NULL. A file that declares no
     sentinel is refused: its holes would have to be guessed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(folder)
-    if not files.select("path").take(1):
+    files = _images(spark, folder)
+    if not files.select("band").take(1):
         raise CompareRefusal(f"no rasters in {folder}")
-    files = files.select(F.regexp_extract("path", r"([^/]+)\.tif$", 1).alias("band"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

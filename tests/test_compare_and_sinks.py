@@ -124,7 +124,8 @@ def test_las_round_trip_and_refusals(spark, tmp_path):
     rows = got.orderBy("point_idx").toPandas()
     assert np.allclose(rows.x, x) and np.allclose(rows.y, y) and np.allclose(rows.z, z)
     assert set(rows.classification) == {2} and set(rows.return_number) == {1} and rows.tile_id[0] == "tile"
-    assert rows.sha256[0] == hashlib.sha256(data).hexdigest()
+    assert tuple(las.files(spark, str(tmp_path)).first()) == ("tile", hashlib.sha256(data).hexdigest(), 3763, n)
+    assert tuple(las.digests(spark, str(tmp_path), "*.las").first()) == ("tile.las", len(data), hashlib.sha256(data).hexdigest())
     with pytest.raises(Exception, match="EPSG:3763"):
         las.read(spark, str(tmp_path), 32629).count()
     packed = bytearray(data)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellbasis.__main__ import main
 from cellbasis.functions.grid import Grid
 from cellbasis.functions.refusals import CompareRefusal, RenderRefusal, SelectionRefusal
-from cellbasis.plans import product, queries, reports, verdicts
+from cellbasis.plans import product, programs, queries, reports, verdicts
 from cellbasis.sinks import bands
 from cellbasis.sources import las, returns, synthetic
 
@@ -109,15 +109,74 @@ def test_command_line(spark, tmp_path, capsys):
     assert names == {"mdt.tif", "mds.tif", "chm.tif", "basis.tif", "n_all.tif", "n_ground.tif", "record.json"}
     told = json.loads((tmp_path / "out/record.json").read_text())
     assert told["inputs"][0]["point_count_catalogue"] == len(p) and told["flight_dates"] == ["2024-07-01T22:00:00Z"] and not told["mixed_epochs"]
-    assert "reproducibility_hash" in capsys.readouterr().out
+    assert told["uncalibrated_thresholds"] == sorted(product.UNCALIBRATED) and told["known_limitations"] == list(product.LIMITATIONS)
+    assert set(told["parameters"]) == set(product.UNCALIBRATED)
+    said = capsys.readouterr().out
+    for label in ("returns outside the grid", "cells undetermined", "expected void", "flight dates", "mixed epochs", "reproducibility_hash"):
+        assert label in said
+    assert main(["smoke", "--aoi", str(aoi), "--search", str(search), "--las", str(tmp_path / "las")], spark) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["tiles"][0]["delta"] == 0 and report["returns"] == len(p) and sum(report["histogram"].values()) == report["with_ground_below"]
+    # the same run again differs in its time only; another one in bands and fields
+    assert main([*run[:-3], str(tmp_path / "again"), "--attribution", "synthetic", "--selection", str(selection), "--images"], spark) == 0
+    assert main(["compare", str(tmp_path / "out"), str(tmp_path / "again")], spark) == 0
+    assert main(["compare", str(tmp_path / "out"), str(tmp_path / "again"), "--record-only"], spark) == 2
+    assert main([*run[:-3], str(tmp_path / "other"), "--attribution", "else", "--d-max-interp-m", "0", "--images"], spark) == 0
+    capsys.readouterr()
+    assert main(["compare", str(tmp_path / "out"), str(tmp_path / "other")], spark) == 1
+    err = capsys.readouterr().err
+    assert "attribution changed" in err and "cells differ" in err
     other = {"tiles": [{"item_id": "u", "bbox": box}]}
     selection.write_text(json.dumps(other))
-    assert main([*run, "--selection", str(selection)], spark) == 1
+    assert main([*run, "--selection", str(selection)], spark) == 2
     assert "not in the selection" in capsys.readouterr().err
+    (tmp_path / "none").mkdir()
+    assert main([*run[:4], str(tmp_path / "none"), *run[5:]], spark) == 2
     aoi.write_text(json.dumps({"type": "Point"}))
     assert main(run, spark) == 2
 
 
+def test_records_of_two_releases():
+    old = {"package_version": "1", "grid": 5, "known_limitations": ["a", "b"], "created_utc": "x"}
+    new = {"package_version": "2", "grid": 5, "known_limitations": ["a", "c", "d"], "created_utc": "y"}
+    changes = {"2": {"replaced": [["b", "c"]], "added": ["d"]}}
+    assert programs.compare_records(old, new, changes=changes)[1] == []
+    assert "known_limitations" in programs.compare_records(old, new)[1][0]
+    assert "no change" in programs.compare_records(old, new, changes={})[1][0]
+    assert "absent" in programs.compare_records(old, new, changes={"2": {"replaced": [["z", "c"]]}})[1][0]
+    assert programs.compare_records(old, new | {"grid": 6}, changes=changes)[1] == ["record: grid changed"]
+    assert programs.compare_records(old, new | {"grid": 6}, tell_only=True, changes=changes)[1] == []
+
+
+def test_runs_without_rasters_are_not_equal(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "record.json").write_text(json.dumps({"package_version": name}))
+    for record_only in (False, True):
+        found = programs.compare_runs(spark, str(tmp_path / "a"), str(tmp_path / "b"), record_only)
+        assert found.exit_code == 1 and "no rasters" in found.problems[0]
+
+
+def test_read_stability(spark, tmp_path):
+    data, _ = tile_bytes(spark)
+    (tmp_path / "las").mkdir()
+    (tmp_path / "las/t.las").write_bytes(data)
+    (tmp_path / "las/broken.las").write_bytes(data[:300])
+    assert main(["stability", "--las", str(tmp_path / "las"), "--passes", "2", "--out", str(tmp_path / "reads")], spark) == 0
+    rows = spark.read.json(str(tmp_path / "reads")).collect()
+    assert len(rows) == 4 and len({r.hash for r in rows if r.tile == "t"}) == 1
+    assert tuple(programs.stability(spark, str(tmp_path / "reads")).first()) == ("default", 4, 2)
+    (tmp_path / "none").mkdir()
+    assert main(["stability", "--las", str(tmp_path / "none"), "--out", str(tmp_path / "reads")], spark) == 2
+
+
+def test_ramp_confound(spark, cells):
+    part, grid = verdicts.crop(cells, queries.GRID, (0.0, 0.0, 60.0, 30.0))
+    got = {r.subset: r for r in programs.ramp_confound(part, grid, "is_ground", ["theirs"], gate=1.5).collect()}
+    assert set(got) == {"all", "residual >= 0.10", "residual >= 0.20", "residual >= 0.30", "residual >= 0.50", "residual < 0.10"}
+    assert got["all"].cells >= got["residual >= 0.10"].cells >= got["residual >= 0.30"].cells and 0 <= got["all"].theirs_pct <= 100
+
+
 def test_run_refuses_returns_outside_the_declared_box(spark):
     g = Grid(48000.0, 169020.0, 0.5, 40, 40, 3763)
     scene = synthetic.canopy(spark, side=20.0)
