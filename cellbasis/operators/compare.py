@@ -33,14 +33,19 @@ def judged_controls(returns: DataFrame, reference_class: str = "reference_class"
     )
 
 
-def require_same_points(a: DataFrame, b: DataFrame, key: list[str]) -> None:
-    """Refuse to compare two files point by point unless every key has the same coordinates in both."""
+def point_differences(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """The points of two files that are in one only, or whose coordinates differ."""
     other = b.select(*key, *[F.col(c).alias(f"__{c}") for c in "xyz"])
     both = a.select(*key, "x", "y", "z").join(other, key, "full_outer")
     same = F.lit(True)
     for c in "xyz":
         same = same & (F.col(c).eqNullSafe(F.col(f"__{c}")) & F.col(c).isNotNull())
-    n = both.where(~same).count()
+    return both.where(~same)
+
+
+def require_same_points(a: DataFrame, b: DataFrame, key: list[str]) -> None:
+    """Refuse to compare two files point by point unless every key has the same coordinates in both."""
+    n = point_differences(a, b, key).count()
     if n:
         raise CompareRefusal(f"{n} point(s) differ between the two files or are in one only")
 

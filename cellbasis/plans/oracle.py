@@ -314,7 +314,6 @@ UNPIVOT (value FOR band IN (mdt, mds, chm, basis, n_all, n_ground))""",
     + """SELECT u.band AS band, count(*) AS cells, count(*) FILTER (u.d) AS differing FROM (
   SELECT unnest([{'band': 'mdt', 'd': a.mdt IS DISTINCT FROM b.mdt}, {'band': 'mds', 'd': a.mds IS DISTINCT FROM b.mds}, {'band': 'chm', 'd': a.chm IS DISTINCT FROM b.chm},
                  {'band': 'basis', 'd': a.basis IS DISTINCT FROM b.basis}]) AS u FROM bands a FULL JOIN bands1 b USING ("row", col)) GROUP BY 1""",
-    "plane_residual": _with(_DENSE, *_steps("min_z"), "picked AS (SELECT * FROM steps WHERE step > 6.5 AND n >= 12)", _PLANE) + f'SELECT "row", col, round({_RESIDUAL}, 6) AS residual FROM fits',
     "sharp_steps": _with(_DENSE, *_steps("min_z_ground"), "picked AS (SELECT * FROM steps WHERE step > 1.5)", _PLANE)
     + f"SELECT (SELECT count(*) FROM picked) AS candidates, count(*) FILTER (n >= 4 AND det > 1e-9 AND {_RESIDUAL.replace('/ det', '/ CASE WHEN det > 1e-9 THEN det END')} >= 0.3) AS population FROM fits",
     "verified_hits": _with(_DENSE, *_steps("min_z_ground"), "picked AS (SELECT * FROM steps WHERE step > 1.5)", _PLANE, _VERIFIED,

@@ -314,7 +314,7 @@ def run_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def plane_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _dense(spark, sf_dir)
-    at = stencil.step_magnitude(cells, GRID, VALUE).where("step > 6.5 and n >= 12")
+    at = stencil.step_magnitude(cells, GRID, VALUE).where("step > 2.5")
     fits = steps.plane_residual(cells, at, GRID, VALUE)
     return fits.withColumn("residual", F.round("residual", 6))
 

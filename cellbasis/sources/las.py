@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellbasis.functions.refusals import EmptyFolder, ReadRefusal
+from cellbasis.sources.files import put
 
 SCHEMA = "tile_id string, point_idx long, x double, y double, z double, classification smallint, return_number smallint, number_of_returns smallint"
 FILES = "tile_id string, sha256 string, crs_epsg int, points long"
@@ -112,23 +111,16 @@ def read(spark: SparkSession, folder: str, epsg: int | None = None) -> DataFrame
 
 def write(returns: DataFrame, folder: str, epsg: int, scale: float = 0.01) -> DataFrame:
     """Each tile of `returns` as a file of the folder, which all executors reach: (tile_id, bytes). A task holds one tile."""
-    scheme, found, rest = folder.partition("://")
-    where = f"s3://{rest}" if found and scheme in ("s3a", "s3n") else folder
 
-    def put(part: pd.DataFrame) -> pd.DataFrame:
+    def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["point_idx", "x", "y", "z"] if "point_idx" in part else ["x", "y", "z"])
         a = {c: part[c].to_numpy() for c in ("x", "y", "z", "classification", "return_number", "number_of_returns")}
         data = encode(a["x"], a["y"], a["z"], a["classification"].astype(np.uint8), epsg, a["return_number"].astype(np.uint8), a["number_of_returns"].astype(np.uint8), scale)
-        fs, path = pafs.FileSystem.from_uri(where)
-        fs.create_dir(path, recursive=True)
         tile = part["tile_id"].iloc[0]
-        half = f"{path}/{tile}.{uuid.uuid4().hex}.part"  # no reader takes what a lost attempt leaves for a file
-        with fs.open_output_stream(half, compression=None) as out:
-            out.write(data)
-        fs.move(half, f"{path}/{tile}.las")
+        put(folder, f"{tile}.las", data)
         return pd.DataFrame({"tile_id": [tile], "bytes": [len(data)]})
 
-    return returns.groupBy("tile_id").applyInPandas(put, "tile_id string, bytes long")
+    return returns.groupBy("tile_id").applyInPandas(one, "tile_id string, bytes long")
 
 
 def encode(x: np.ndarray, y: np.ndarray, z: np.ndarray, classification: np.ndarray, epsg: int | None, return_number: np.ndarray | None = None, number_of_returns: np.ndarray | None = None, scale: float = 0.01) -> bytes:

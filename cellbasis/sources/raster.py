@@ -88,6 +88,28 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
     return _images(spark, folder).mapInPandas(run, "band string, rows int, cols int, nodata double, cell double, origin_x double, origin_y double, nans long")
 
 
+def palette_counts(data: bytes) -> list[tuple[int, int, int, int, int]]:
+    """(red, green, blue, opacity, pixels) of the colours that a palette image without row filters uses."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ReadRefusal("not a PNG")
+    parts: dict[bytes, bytes] = {}
+    at = 8
+    while at < len(data):
+        (n,) = struct.unpack_from(">I", data, at)
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        if zlib.crc32(kind + body) != struct.unpack_from(">I", data, at + 8 + n)[0]:
+            raise ReadRefusal(f"the checksum of {kind.decode()} is wrong")
+        parts[kind] = parts.get(kind, b"") + body
+        at += 12 + n
+    cols, rows, depth, colour = struct.unpack_from(">IIBB", parts[b"IHDR"])
+    raw = np.frombuffer(zlib.decompress(parts[b"IDAT"]), dtype=np.uint8).reshape(rows, cols + 1)
+    if (depth, colour) != (8, 3) or raw[:, 0].any():
+        raise ReadRefusal("only palette images of 8 bits without row filters are read")
+    palette, clear = parts[b"PLTE"], parts.get(b"tRNS", b"")
+    used = np.bincount(raw[:, 1:].ravel())
+    return [(*palette[3 * i : 3 * i + 3], clear[i] if i < len(clear) else 255, int(used[i])) for i in np.flatnonzero(used).tolist()]
+
+
 def read_bands(spark: SparkSession, folder: str) -> DataFrame:
     """(band, row, col, value) of the folder's *.tif files, one task a file; missing cells are NULL. A file that declares no
     sentinel is refused: its holes would have to be guessed."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 ORIGIN = (48000.0, 169000.0)
 
@@ -15,6 +16,20 @@ def lattice(spark: SparkSession, side: float = 50.0, step: float = 0.2) -> DataF
     return at.select((F.lit(ORIGIN[0]) + (F.col("id") % n) * step).alias("x"), (F.lit(ORIGIN[1]) + F.floor(F.col("id") / n) * step).alias("y"))
 
 
+class Lattice:
+    """A table function: the points (x, y) of a lattice from the origin, x fastest, for `SELECT * FROM lattice(side, step)`."""
+
+    def eval(self, side: float, step: float):
+        n = round(side / step)
+        for k in range(n * n):
+            yield ORIGIN[0] + k % n * step, ORIGIN[1] + k // n * step
+
+
+def register_lattice(spark: SparkSession, name: str = "lattice") -> None:
+    """Make `Lattice` known to the session's SQL. It runs on one worker: for small scenes; `lattice` is the one that is spread."""
+    spark.udtf.register(name, udtf(Lattice, returnType="x double, y double"))
+
+
 def _returns(points: DataFrame, z: Column, cls: Column) -> DataFrame:
     one = F.lit(1).cast("smallint")
     return points.select(F.lit("scene").alias("tile_id"), "x", "y", z.cast("double").alias("z"), cls.cast("smallint").alias("classification"), one.alias("return_number"), one.alias("number_of_returns"))

@@ -7,8 +7,7 @@ import sys
 import duckdb
 import pytest
 
-from cellbasis.plans.oracle import SQL
-from cellbasis.plans.queries import QUERIES
+from cellbasis.plans.registry import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
