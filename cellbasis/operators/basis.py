@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from cellbasis.functions.grid import Grid
 from cellbasis.functions.refusals import BasisRefusal, CompareRefusal
 from cellbasis.functions.scalars import INTERPOLATED, MEASURED, UNDETERMINED, ratio
-from cellbasis.operators.neighbours import nearest_within, reach, shore, within
+from cellbasis.operators.neighbours import nearest_in_chunks, reach, within
 
 
 def basis(cells: DataFrame, grid: Grid, is_ground: str = "is_ground", least_returns: int = 1, distance: float = 2.0, check: bool = True) -> DataFrame:
     """Dense `cells` (row, col, n_all, ground mask) with basis, src_row, src_col.
 
     Measured: ground and at least `least_returns` returns. Interpolated: a measured cell within `distance` metres; 0 borrows
-    from nothing. As nothing beyond the distance is ever used, the search is a bounded equi-join.
+    from nothing. As nothing beyond the distance is ever used, the search is bounded by it.
     """
     radius = reach(distance, grid.cell)
     measured = F.coalesce(F.col(is_ground), F.lit(False)) & (F.col("n_all") >= least_returns)
     if check and not cells.where(measured).take(1):
         raise BasisRefusal("no cell is measured: nothing to interpolate from")
-    sources = shore(cells.select("row", "col", measured.alias("__source")), "__source")
-    near = nearest_within(sources, grid, radius).where(within(F.col("d2"), grid.cell, distance))
-    code = F.when(measured, MEASURED).when(F.col("d2").isNotNull(), INTERPOLATED).otherwise(UNDETERMINED).cast("tinyint")
-    out = cells.join(near, ["row", "col"], "left").withColumn("basis", code).drop("d2")
-    own = lambda at, src: F.when(measured, F.col(at)).otherwise(F.col(src))
-    return out.withColumns({"src_row": own("row", "src_row"), "src_col": own("col", "src_col")})
+    near = nearest_in_chunks(cells.withColumn("__source", measured), "__source", grid, radius)
+    close = within(F.col("d2"), grid.cell, distance)
+    code = F.when(measured, MEASURED).when(close, INTERPOLATED).otherwise(UNDETERMINED).cast("tinyint")
+    src = {c: F.when(close, F.col(c)) for c in ("src_row", "src_col")}
+    return near.withColumns({"basis": code, **src}).drop("d2", "__source")
 
 
 def surfaces(cells: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cellbasis.functions.grid import Grid
 from cellbasis.functions.refusals import BasisRefusal, length
+from cellbasis.operators.chunks import in_chunks
 
 _SHIFT = 1 << 31  # above every flat index: the ceiling on cells is far below
 
@@ -46,59 +47,90 @@ def nearest_within(sources: DataFrame, grid: Grid, radius: float) -> DataFrame:
     )
 
 
-def shore(cells: DataFrame, source: str) -> DataFrame:
-    """(row, col) of the sources of a dense frame with a cell beside them, corners included, that is none.
+def nearest_in_chunks(cells: DataFrame, source: str, grid: Grid, radius: float) -> DataFrame:
+    """A dense frame with d2, src_row, src_col, which are those of `nearest_within` where a source lies within `radius` cells, and NULL.
 
-    No other source is the nearest of a cell that is none: of a source's neighbours the one on the way to that cell is nearer. So
-    only these need to be spread, which follow the length of the gaps' rims and not the area.
+    Offsets are tried nearest first, over whole arrays of a chunk and its halo, so the cost is one pass of each offset over the
+    grid, however many of the cells are sources.
     """
-    across = Window.partitionBy("row").orderBy("col").rangeBetween(-1, 1)
-    down = Window.partitionBy("col").orderBy("row").rangeBetween(-1, 1)
-    marked = cells.select("row", "col", F.col(source).alias("__s"), F.min(F.col(source).cast("int")).over(across).alias("__m"))
-    marked = marked.withColumn("__m", F.min("__m").over(down))
-    return marked.where(F.col("__s") & (F.col("__m") == 0)).select("row", "col")
-
-
-def _targets(cells: DataFrame, voids: DataFrame, radius: int, grid: Grid) -> DataFrame:
-    """Known cells around each void, out to `radius` cells."""
-    spread = _exploded(voids.select("row", "col"), offsets(radius), grid)
-    return spread.join(cells, (F.col("trow") == F.col("__r")) & (F.col("tcol") == F.col("__c"))).select("row", "col", "d2", "trow", "tcol", "__z")
+    some = offsets(radius)
+    halo = math.floor(radius)
+
+    def run(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        known = np.pad(arrays["__s"] == 1, halo)
+        rows, cols = arrays["__s"].shape
+        best = np.full((rows, cols), -1, dtype=np.int32)
+        for k, (_, dr, dc) in enumerate(some):
+            here = known[halo + dr : halo + dr + rows, halo + dc : halo + dc + cols]
+            best[(best < 0) & here] = k
+            if k % 8 == 7 and (best >= 0).all():
+                break
+        return {"k": best}
+
+    carry = tuple(c for c in cells.columns if c not in ("row", "col"))
+    marked = cells.withColumn("__s", F.coalesce(F.col(source), F.lit(False)).cast("int"))
+    best = in_chunks(marked, grid, ["__s"], halo, run, "k int", carry=carry)
+    # the offsets of a radius, in one literal
+    table = F.array(*[F.struct(F.lit(d2).alias("d2"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for d2, dr, dc in some])
+    found = best.withColumn("__o", F.when(F.col("k") >= 0, table[F.col("k")]))
+    return found.withColumns({"d2": F.col("__o.d2"), "src_row": F.col("row") + F.col("__o.dr"), "src_col": F.col("col") + F.col("__o.dc")}).drop("k", "__o")
+
+
+def _near_fill(z: np.ndarray, some: list[tuple[int, int, int]], halo: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """`z` with each NaN replaced by the mean of the `need` nearest values among offsets `some`, and where too few lie there."""
+    room = np.pad(z, halo, constant_values=np.nan)
+    r, c = np.nonzero(np.isnan(z))
+    got, total = np.zeros(len(r), dtype=np.int64), np.zeros(len(r))
+    live = np.arange(len(r))
+    for k, (_, dr, dc) in enumerate(some):
+        value = room[r[live] + halo + dr, c[live] + halo + dc]
+        known = ~np.isnan(value)
+        got[live[known]] += 1
+        total[live[known]] += value[known]
+        if k >= need - 1:  # before that none can have enough
+            live = live[got[live] < need]
+            if not len(live):
+                break
+    out, late = z.copy(), np.zeros(z.shape, dtype=bool)
+    done = got == need
+    out[r[done], c[done]] = total[done] / need
+    late[r[~done], c[~done]] = True
+    return out, late
 
 
-def knn_fill(cells: DataFrame, grid: Grid, value: str, k: int = 8, first_radius: int = 4, last_radius: int = 16, chunk: int = 128) -> DataFrame:
+def knn_fill(cells: DataFrame, grid: Grid, value: str, k: int = 8, last_radius: int = 16, chunk: int = 128) -> DataFrame:
     """Dense `cells` with each NULL of `value` replaced by the mean of its k nearest known values (all, where there are fewer).
 
-    A void is settled once k known cells lie within the searched radius: everything nearer has been seen. Most voids are small
-    and settle in equi-joins over offsets of at most `last_radius` cells. What is left lies inside wide gaps, and is searched
-    among the known cells near a void only, by chunks whose halo grows until all are settled. Without any known cell the
-    frame comes back as it is.
+    Most voids are small: they are settled by k known cells within `last_radius` cells, sought nearest first in chunks with a halo
+    of that width. What is left lies inside wide gaps, and is searched among the known cells near a void only, by chunks whose halo
+    grows until all are settled. Without any known cell the frame comes back as it is.
     """
-    known = cells.where(F.col(value).isNotNull()).select(F.col("row").alias("__r"), F.col("col").alias("__c"), F.col(value).cast("double").alias("__z"))
+    known = cells.where(F.col(value).isNotNull())
     n_known = known.count()
-    voids = cells.where(F.col(value).isNull()).select("row", "col")
-    if not n_known:
+    if not n_known or not cells.where(F.col(value).isNull()).take(1):
         return cells
-    need, radius, found = min(k, n_known), first_radius, None
-    order = Window.partitionBy("row", "col").orderBy("d2", "trow", "tcol")
-    while radius <= last_radius:
-        near = _targets(known, voids, radius, grid).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
-        done = near.groupBy("row", "col").agg(F.count(F.lit(1)).alias("got"), F.avg("__z").alias("__fill")).where(F.col("got") == need).select("row", "col", "__fill").persist()
-        found = done if found is None else found.unionByName(done)
-        voids = voids.join(done, ["row", "col"], "left_anti").persist()
-        if voids.isEmpty():
-            break
-        radius *= 2
-    else:
+    need, some = min(k, n_known), offsets(last_radius)
+
+    def run(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        filled, late = _near_fill(arrays[value], some, last_radius, need)
+        return {value: filled, "__late": late}
+
+    near = in_chunks(cells, grid, [value], last_radius, run, f"{value} double, __late boolean").checkpoint()
+    done, voids, found = near.where("not __late").drop("__late"), near.where("__late").select("row", "col"), []
+    if voids.take(1):
         span = max(grid.n_rows, grid.n_cols)
         rim, halo = _rim(cells, value, k), 2 * chunk
         while True:
-            done = _in_chunks(rim, voids, need, min(halo, span), span, chunk).persist()
-            found = done if found is None else found.unionByName(done)
-            voids = voids.join(done, ["row", "col"], "left_anti").persist()
+            found.append(_in_chunks(rim, voids, need, min(halo, span), span, chunk).checkpoint())
+            voids = voids.join(found[-1], ["row", "col"], "left_anti").checkpoint()
             if halo >= span or voids.isEmpty():
                 break
             halo *= 4
-    return cells.join(found, ["row", "col"], "left").withColumn(value, F.coalesce(F.col(value).cast("double"), F.col("__fill"))).drop("__fill")
+        rim.unpersist()
+    for more in found:
+        done = done.unionByName(more.withColumnRenamed("__fill", value))
+    others = [c for c in cells.columns if c not in ("row", "col", value)]
+    return cells.drop(value).join(done, ["row", "col"]).select(*cells.columns) if others else done.select(*cells.columns)
 
 
 def _rim(cells: DataFrame, value: str, k: int) -> DataFrame:

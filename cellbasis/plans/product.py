@@ -12,7 +12,7 @@ from cellbasis.functions.refusals import NotSelected
 from cellbasis.operators.accumulate import cell_stats, dense, outside_count
 from cellbasis.operators.basis import agreement, basis, honesty, surfaces
 from cellbasis.operators.catalogue import sorties, stamps_from_text
-from cellbasis.operators.ground import ProgressiveParams, progressive_ground
+from cellbasis.operators.ground import ProgressiveParams, with_ground
 from cellbasis.sinks.record import Input, record
 from cellbasis.sources.returns import checked, tile_facts
 
@@ -63,8 +63,7 @@ def run(returns: DataFrame, grid: Grid, attribution: str, boxes: DataFrame | Non
     clean = checked(returns, boxes)
     outside = outside_count(clean, grid).first()["n_out"]
     cells = dense(cell_stats(clean, grid), grid).checkpoint()
-    ground = progressive_ground(cells, grid, params)
-    labelled = basis(cells.join(ground, ["row", "col"]), grid, least_returns=least_returns, distance=distance).checkpoint()
+    labelled = basis(with_ground(cells, grid, params).checkpoint(), grid, least_returns=least_returns, distance=distance).checkpoint()
     told = honesty(labelled, grid).first().asDict()
     agreed = agreement(labelled).first().asDict() if official else None
     area = lambda f: (f["maxx"] - f["minx"]) * (f["maxy"] - f["miny"])

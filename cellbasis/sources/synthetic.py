@@ -56,6 +56,22 @@ def canopy(spark: SparkSession, slope: float = 0.02, ground_share: float = 0.3,
     return _returns(lattice(spark, **size), base + F.when(ground, 0.0).otherwise(lift), F.when(ground, 2).otherwise(5))
 
 
+def town(spark: SparkSession, grid, per_cell: int, seed: int = 0) -> DataFrame:
+    """Terraces with ground returns, trees and roofs in the order of a scan, `per_cell` returns a cell of `grid` on average, with voids
+    under the roofs and in every 53rd block of cells: a scene as large as wanted whose truth is known."""
+    n = grid.n_cells * per_cell
+    at = F.floor(F.col("id") / per_cell)
+    u = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    x = F.lit(grid.origin_x) + (at % grid.n_cols + u(1)) * grid.cell
+    y = F.lit(grid.origin_y) - (F.floor(at / grid.n_cols) + u(2)) * grid.cell
+    points = spark.range(n).select(x.alias("x"), y.alias("y"), u(3).alias("w"), F.pmod(F.xxhash64(F.floor(x / 8), F.floor(y / 8), F.lit(seed)), F.lit(53)).alias("block"))
+    points = points.where("block != 0")
+    kind = F.when(F.col("block") < 6, 6).when((F.col("block") < 20) & (F.col("w") < 0.7), 5).otherwise(2)
+    base = F.floor(F.col("x") / 12) * 1.5
+    over = F.when(kind == 6, 6.0).when(kind == 5, 2.0 + F.col("w") * 8.0).otherwise(F.col("w") * 0.1)
+    return _returns(points, base + over, kind)
+
+
 def with_void(returns: DataFrame, x0: float, y0: float, side: float) -> DataFrame:
     """Without the ground returns of a square that is closed like cells are: left-closed in x, top-closed in y."""
     hole = (F.col("x") >= x0) & (F.col("x") < x0 + side) & (F.col("y") > y0) & (F.col("y") <= y0 + side) & (F.col("classification") == 2)

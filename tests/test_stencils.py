@@ -100,7 +100,7 @@ def knn(z, k):
 def test_knn_fill_with_escalation(spark, k):
     z = HOLES.copy()
     z[:, 4:] = np.nan  # wide gaps need a larger radius
-    got = array(neighbours.knn_fill(frame(spark, z), GRID, "z", k=k, first_radius=1), "z")
+    got = array(neighbours.knn_fill(frame(spark, z), GRID, "z", k=k, last_radius=2), "z")
     assert np.allclose(got, knn(z, k), atol=1e-12)
 
 
@@ -113,7 +113,7 @@ def test_knn_fill_of_wide_gaps_by_chunks(spark, k):
     z[RNG.random(shape) < 0.1] = np.nan
     g = Grid(0.0, 40.0, 1.0, 50, 40, 3763)
     for last, chunk in ((0, 4), (2, 8)):
-        got = array(neighbours.knn_fill(frame(spark, z), g, "z", k=k, first_radius=1, last_radius=last, chunk=chunk), "z", shape)
+        got = array(neighbours.knn_fill(frame(spark, z), g, "z", k=k, last_radius=last, chunk=chunk), "z", shape)
         assert np.allclose(got, knn(z, k), atol=1e-12)
 
 
