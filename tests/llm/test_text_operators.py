@@ -618,19 +618,38 @@ def brute_substrings(rows, w=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("size", [substring_dedup.BLOCK_BYTES, 2000])
-def test_substring_dedup(spark, size):
+@pytest.mark.parametrize("size, a_round", [(substring_dedup.BLOCK_BYTES, 1 << 14), (2000, 1 << 14), (2000, 3)])
+def test_substring_dedup(spark, size, a_round):
     passage, other = prose(40, 3).split(), prose(30, 4).split()
     rows = EDGES + [(100, " ".join(passage))]
     for k in range(40):
         own = [f"w{k}_{j}" for j in range(20)]
         cut_ = int(RNG.integers(5, 40))
         rows.append((101 + k, " ".join(own[:7] + passage[:cut_] + (other[: int(RNG.integers(8, 20))] if k % 2 else []) + passage[cut_ - 5 :] + own[7:])))
-    got = collect(substring_dedup.substring_dedup(frame(spark, rows, True), block_bytes=size, batch_bytes=size), "doc_id", "n_words", "n_removed", "kept_sha256")
+    got = collect(substring_dedup.substring_dedup(frame(spark, rows, True), block_bytes=size, batch_bytes=size, blocks_a_round=a_round), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == brute_substrings(rows)
     assert substring_dedup.substring_dedup(frame(spark, [])).count() == 0
 
 
+def test_groups_of_substring_dedup_do_not_grow():
+    """The text that stands behind a group of any stage, from 30 GB to 100 TB."""
+    for total in (30 << 30, 3 << 40, 100 << 40):
+        blocks, batches, wide, slices = substring_dedup.plan(total, substring_dedup.BLOCK_BYTES, substring_dedup.BATCH_BYTES, substring_dedup.BLOCKS_A_ROUND)
+        supers = -(-blocks // wide)
+        assert total / batches <= substring_dedup.BATCH_BYTES and total / blocks <= substring_dedup.BLOCK_BYTES
+        assert total / (supers * slices) <= 2 * substring_dedup.BLOCK_BYTES  # of a slice in a super-block
+        assert (wide > 1) == (blocks > substring_dedup.BLOCKS_A_ROUND) and supers <= substring_dedup.BLOCKS_A_ROUND
+        assert slices <= substring_dedup.BLOCKS_A_ROUND  # entries of one seed that reach its block
+
+
+def test_factors_are_copies_of_one_place():
+    """A factor ends where the earlier document's next seed is not the next one here."""
+    none = substring_dedup.NULL_ID
+    docs, places = np.array([5, 5, 5, 5, 2, none, 5]), np.array([10, 11, 30, 31, 9, 0, 32])
+    assert substring_dedup.factors(docs, places, 9, 13) == [(0, 14, 5), (2, 16, 5), (4, 17, 2), (6, 19, 5)]
+    assert substring_dedup.factors(docs, places, 2, 13) == []
+
+
 # ---- packing ---------------------------------------------------------------------------------------------
 
 
