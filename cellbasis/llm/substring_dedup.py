@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from cellbasis.llm.common import Words, chunks, ready, windows, written
 
 WINDOW = 13
-BLOCK_BYTES = 2 << 20  # text for one block of the reference
+BLOCK_BYTES = 4 << 20  # text for one block of the reference
 BATCH_BYTES = 4 << 20  # text in one batch
 BLOCKS_A_ROUND = 1 << 14
 MOST_PARTITIONS = 1 << 16  # of a shuffle: beyond it a task has several groups, one after the other
@@ -43,12 +43,14 @@ _SETTLED = _ASKED + ", batch long, own binary"
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Whole numbers that mostly ascend, as differences."""
-    return zstandard.compress(np.diff(a, prepend=a.dtype.type(0)).tobytes(), 1)
+    """Whole numbers of 64 bits that mostly ascend, as differences, all their lowest bytes first: most of the others are zeros."""
+    planes = np.diff(a, prepend=a.dtype.type(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
 
 
-def _unpack(data: bytes, kind) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(data), dtype=kind), dtype=kind)
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64)[:, 0], dtype=np.int64)
 
 
 class Batch:
@@ -170,7 +172,7 @@ def substring_dedup(
     def answer(last: bool):
         def run(table: pa.Table) -> pa.Table:
             lists = {c: table.column(c).to_pylist() for c in ("blocks", "docs", "places", "batches")}
-            at = {c: np.concatenate([_unpack(x, np.int64) for x in v]) for c, v in lists.items()}
+            at = {c: np.concatenate([_unpack(x) for x in v]) for c, v in lists.items()}
             seeds = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in table.column("seeds").to_pylist()])
             first, known = settle(at["blocks"], seeds, at["docs"], at["batches"], at["places"])
             k = np.flatnonzero(known)
@@ -198,7 +200,7 @@ def substring_dedup(
         docs_, places = np.full(len(b.owner), NULL_ID, dtype=np.int64), np.zeros(len(b.owner), dtype=np.int64)
         docs_[b.place], places[b.place] = b.doc, b.place
         for own, d, p in zip(*(right.column(c).to_pylist() for c in ("own", "docs", "places")), strict=True):
-            own, d, p = (_unpack(x, np.int64) for x in (own, d, p))
+            own, d, p = (_unpack(x) for x in (own, d, p))
             better = d < docs_[own]  # of two rounds' answers the later one is earlier
             docs_[own[better]], places[own[better]] = d[better], p[better]
         docs_, places = docs_[b.same], places[b.same]
@@ -225,7 +227,7 @@ def substring_dedup(
         once = written(asked.repartition(parts(-(-blocks // wide) * slices), "key").groupBy("key").applyInArrow(answer(False), _SETTLED), "settled")
         asked = once.where("key >= 0").drop("batch", "own")
         answers = once.where("key < 0").select(told)
-    final = asked.repartition(parts(blocks), "key").groupBy("key").applyInArrow(answer(True), _SETTLED).select(told)
+    final = asked.repartition(parts(2 * blocks), "key").groupBy("key").applyInArrow(answer(True), _SETTLED).select(told)
     answers = final if wide == 1 else answers.unionByName(final)
     return dealt.groupBy("batch").cogroup(answers.repartition(parts(batches), "batch").groupBy("batch")).applyInArrow(parse, SCHEMA)
 
