@@ -3,7 +3,8 @@
 A document's set is its distinct five-word shingles; equal sets share one representative. Every representative
 enters the root of each tree and follows, at each node, the branches of two selected minwise tokens. Two sets of
 similarity J select the same token with probability J, so they stay together along some path of a tree with a
-probability of about 0.89 at J = 0.75 whatever the depth, and in one of five trees with one above 0.9999.
+probability of about 0.89 at J = 0.75 whatever the depth. Five trees would keep all but one in 10,000 such pairs if they were
+independent; deep levels share their hashes, so the recall is measured in the tests.
 
 Nodes of at most `leaf` members are compared exhaustively, on the full sets. The first tree's links are joined
 into components before the other trees grow: links within a component add nothing, so a node with one component is
@@ -15,6 +16,7 @@ Components come from alternating large and small stars.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ PERCENT = 75
 TREES = 5
 BRANCHES = 2
 ROOTS = TREES * BRANCHES
-LEVELS = 4
+LEVELS = 4  # of a tree at least; large inputs have more
 LEAF = 1024
 FEW_BLOCKS = 4  # blocks of members outside a node's largest component that may meet all its blocks before it is branched
 SIGNATURE = 48  # minwise tokens of a set: one for each branch of the roots, the others shared by all deeper nodes
@@ -303,10 +305,16 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.join(once, "node", "left_semi").select("node", "id", F.lit(False).alias("query"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, trees: int = TREES, levels: int = LEVELS, leaf: int = LEAF) -> DataFrame:
+def depth(sets: int, leaf: int) -> int:
+    """Levels of a tree over so many sets: half as many as halvings bring them to a leaf. A level splits a node far more than in
+    two, but for texts that share most of their shingles."""
+    return max(LEVELS, math.ceil(math.log2(max(1, sets / leaf)) / 2))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, trees: int = TREES, levels: int | None = None, leaf: int = LEAF) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (the smallest id reachable by links), kept.
 
-    `trees` is from 2 to TREES, for which the signatures have room.
+    `trees` is from 2 to TREES, for which the signatures have room. `levels` follows the number of rows where it is not given.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. Null texts and texts without words
     have empty sets and no links. A null id ranks behind every id (rows with null ids count as one document, whose
@@ -319,7 +327,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = written(plain.mapInArrow(_features(shingle), _FEATURES), "features")
     # equal sets: one representative, the smallest id
     same = made.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = attach(made, written(same, "equal-sets"), "set_key", "n", made.count(), F.col("id"))
+    total = made.count()
+    levels = depth(total, leaf) if levels is None else levels
+    members = attach(made, written(same, "equal-sets"), "set_key", "n", total, F.col("id"))
     members = members.withColumn("rep", F.coalesce("rep", "id"))
     members = written(members.select("id", "n_shingles", "rep", F.when(F.col("id") == F.col("rep"), F.col("signature")).alias("signature")), "members")
     reps = members.where("signature is not null and n_shingles > 0").select("id", "signature")

@@ -396,6 +396,26 @@ def test_decontamination_spans_and_empty_sides(spark):
     assert decontaminate.decontaminate(frame(spark, []), items).count() == 0
 
 
+def test_near_dedup_recall_through_deep_trees(spark):
+    """Leaves of four sets, so that nearly all pairs must be kept together by branches: links found against all links there are."""
+    rng = np.random.default_rng(17)
+    words = [f"v{k}" for k in range(400)]
+    rows = []
+    for family in range(60):
+        base = rng.choice(words, 90)
+        for _ in range(6):
+            text = base.copy()
+            at = int(rng.integers(0, 85))
+            text[at : at + int(rng.integers(0, 4))] = "x" + str(int(rng.integers(1 << 30)))
+            rows.append((len(rows), " ".join(text)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(86)} for i, t in rows}
+    linked = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(frame(spark, rows), leaf=4).collect()}
+    kept = sum(got[a] == got[b] for a, b in linked)
+    assert len(linked) > 500 and kept >= 0.99 * len(linked)
+    assert minhash.depth(1000, 1024) == minhash.LEVELS and minhash.depth(10**10, 1024) == 12
+
+
 # ---- WARC ------------------------------------------------------------------------------------------------
 
 
