@@ -33,6 +33,7 @@ TRAIN_CHARS = 30_000
 #: and the best costs of all passes count: no label is left out.
 LANGUAGES_A_PASS = 64
 SEGMENT = 256  # characters that walk as one; a longer text is several segments, joined afterwards
+FEW_LANES, ROUNDS = 24, 4  # so few walk on faster one by one, as do those that so many rounds side by side have not settled
 _POINTS = 0x110000  # code points
 _LOW = (1 << 32) - 1
 
@@ -189,6 +190,26 @@ def _walk(lanes: np.ndarray, own: np.ndarray, table: np.ndarray, state: np.ndarr
     return state, live
 
 
+def _walk_on(lanes: np.ndarray, joined: np.ndarray, own: np.ndarray, table: np.ndarray, ends: np.ndarray, starts: np.ndarray, lane: int) -> None:
+    """Walk one lane again from the end of the lane before it, and on through its text, up to a phrase that began there before too."""
+    root = (table[: own.max() + 1] & _LOW).tolist()
+    state = int(ends[lane - 1])
+    while True:
+        before = starts[:, lane].tolist()
+        for step, symbol in enumerate(own[lanes[:, lane]].tolist()):
+            found = int(table[state + symbol])
+            if state == 0 or found >> 32 != state:
+                if before[step]:
+                    return
+                starts[step, lane], state = True, root[symbol]
+            else:
+                starts[step, lane], state = False, found & _LOW
+        ends[lane] = state
+        lane += 1
+        if lane >= len(joined) or not joined[lane]:
+            return
+
+
 def _starts(lanes: np.ndarray, joined: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Where phrases begin in each lane when lanes that are `joined` go on where the lane before ends.
 
@@ -199,7 +220,9 @@ def _starts(lanes: np.ndarray, joined: np.ndarray, own: np.ndarray, table: np.nd
     starts = np.zeros(lanes.shape, dtype=bool)
     ends, _ = _walk(lanes, own, table, np.zeros(lanes.shape[1], dtype=np.int64), starts, False)
     todo = np.flatnonzero(joined)
-    while len(todo):
+    for _ in range(ROUNDS):
+        if len(todo) <= FEW_LANES:
+            break
         part = np.ascontiguousarray(starts[:, todo])
         state, unmet = _walk(lanes[:, todo], own, table, ends[todo - 1], part, True)
         starts[:, todo] = part
@@ -208,6 +231,8 @@ def _starts(lanes: np.ndarray, joined: np.ndarray, own: np.ndarray, table: np.nd
         after = changed + 1
         after = after[after < len(joined)]
         todo = after[joined[after]]
+    for lane in todo.tolist():  # in the order of the text: what the first one sets right the next one meets
+        _walk_on(lanes, joined, own, table, ends, starts, lane)
     return starts
 
 
