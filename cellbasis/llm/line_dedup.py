@@ -3,8 +3,9 @@
 Every line two documents share leads to a pair with its first holder (smallest id): rare lines and lines that a third of
 all documents have alike give at most one pair a document. Where that pair doesn't align the line, as the holder has it
 twice or in another order, `every_pair` goes on to the first holder that has it once, and what is left then to all earlier
-holders. These are told apart by their profiles only, in which lines that no other document has are blotted out: no
-alignment depends on more. Pairs carry hashes of lines, never text.
+holders, eight of them first and eight times as many whenever something is still left. These are told apart by their
+profiles only, in which lines that no other document has are blotted out: no alignment depends on more. Pairs carry
+hashes of lines, never text.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,9 @@ from cellbasis.llm.common import attach, ready, written
 
 NULL_ID = (1 << 63) - 1
 SHARE = 256  # pairs that one copy of a first holder's lines serves
+SLICE = 8  # holders of a line that what first holders left is aligned with first; after them WIDER times as many
+WIDER = 8
+DEALT = 4096  # rows that ask for a line, and holders of it, in one share
 _BLANK = " \t\x0b\x0c\r"
 SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string"
 
@@ -191,14 +196,64 @@ def _further(keyed: DataFrame, shared: DataFrame, gone: DataFrame) -> DataFrame:
     met = written(attach(asked, sole, "line", "n", asked.count(), F.col("row")).where("first < doc").select("row", "first", "open"), "met")
     more = written(_gone(met.where("open").select("row", "first").distinct(), known, rest.select("row", F.col("lines").alias("later"))), "gone")
     gone = written(_united(gone.unionByName(more)), "gone")
-    anchored = rest.join(met.select("row").distinct(), "row", "left_semi").select("row", "doc", "lines")
-    rest = anchored.join(common, "row").join(gone, "row", "left").select("row", "doc", "lines", "common", "gone").mapInArrow(_rest, kinds)
-    rest = written(rest.where("size(left) > 0").select("row", "doc", "lines", "left"), "rest")
-    # what is left is aligned with every earlier document that has it
-    asked = rest.select("row", "doc", F.explode("left").alias("key"))
-    pairs = asked.join(known.select("first", F.explode("keys").alias("key")), "key").where("first < doc").select("row", "first").distinct()
-    more = _gone(written(pairs, "line-pairs"), known, rest.select("row", F.col("lines").alias("later")))
-    return _united(gone.unionByName(more))
+    asking = rest.join(met.select("row").distinct(), "row", "left_semi").select("row", "doc", "lines", _signs("once").alias("signs"))
+    asking = written(asking.join(common, "row"), "asking")
+    gone = [gone]
+    left = _left(asking, asking, gone, kinds)
+    holders = _holders(known, left)
+    widest = holders.agg(F.max("m")).first()[0] or 0
+    low, high = 0, SLICE
+    while low < widest:
+        pairs = written(_asked(left, holders, low, high), "line-pairs")
+        gone.append(written(_gone(pairs, known, asking.select("row", F.col("lines").alias("later"))), "gone"))
+        left = _left(asking, left, gone, kinds)
+        low, high = high, high * WIDER
+        if left.isEmpty():
+            break
+    return _united(reduce(DataFrame.unionByName, gone))
+
+
+def _signs(lines: str) -> Column:
+    """64 bits, of which each of `lines` sets one: arrays that have no bit alike have no line alike."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(bit(x)))
+
+
+def _left(asking: DataFrame, rows: DataFrame, gone: list[DataFrame], kinds: str) -> DataFrame:
+    """Those of `rows` (row) that still have something to lose after all of `gone`, each with the keys of that."""
+    some = asking.join(rows.select("row"), "row", "left_semi")
+    so_far = _united(reduce(DataFrame.unionByName, gone).join(some.select("row"), "row", "left_semi"))
+    found = some.join(so_far, "row", "left").select("row", "doc", "lines", "common", "gone").mapInArrow(_rest, kinds)
+    return written(found.where("size(left) > 0").select("row", "doc", "left").join(some.select("row", "signs"), "row"), "left")
+
+
+def _holders(known: DataFrame, left: DataFrame) -> DataFrame:
+    """The `known` documents that have a key of `left`: key, first, signs, m (how many have it) and at, from 0 to m: a place
+    among these that a hash gives, so that any stretch of places holds about as many documents as it is long."""
+    keys = left.select(F.explode("left").alias("key")).distinct()
+    postings = known.select("first", F.explode("keys").alias("key"), _signs("alone").alias("signs"))
+    sizes = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("m")).join(keys, "key", "left_semi"), "sizes")
+    held = attach(postings, sizes, "key", "m", known.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0], F.col("first")).where("m is not null")
+    return written(held.withColumn("at", F.pmod(F.xxhash64("key", "first"), F.lit(1 << 53)) / F.lit(float(1 << 53)) * F.col("m")), "postings")
+
+
+def _asked(left: DataFrame, holders: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs (row, first) of the rows `left` with the earlier holders of their keys at the places from `low` to `high`, but for
+    those without a line in both that each has once. A key's rows and places are dealt into shares, so that none is hot."""
+    asked = left.select("row", "doc", "signs", F.explode("left").alias("key"))
+    holders = holders.where((F.col("at") >= low) & (F.col("at") < high))
+    sizes = holders.groupBy("key").agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("held"))
+    sizes = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(sizes, "key")
+    sizes = written(sizes.withColumn("shares", F.ceil(F.col("n") / DEALT).cast("int")), "sizes")
+    part = lambda x: F.floor(x / DEALT).cast("int")
+    asked = attach(asked, sizes, "key", "n", asked.count(), F.col("row")).where("m is not null")
+    asked = asked.withColumn("share", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int"))
+    asked = asked.select("row", "doc", "signs", "key", "share", F.explode(F.sequence(part(F.lit(low)), part(F.least(F.col("m"), F.lit(high))))).alias("part"))
+    total = sizes.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    holders = attach(holders.drop("m"), sizes.select("key", "held", "shares"), "key", "held", total, F.col("first")).where("shares is not null")
+    holders = holders.select("first", F.col("signs").alias("alone"), "key", part(F.col("at")).alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    met = asked.join(holders, ["key", "share", "part"]).where("first < doc and (signs & alone) != 0")
+    return met.select("row", "first").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every_pair: bool = False) -> DataFrame:

@@ -297,6 +297,23 @@ def test_line_dedup_of_every_pair_of_many(spark):
     assert line_dedup.line_dedup(frame(spark, EDGES), every_pair=True).count() == len(EDGES)
 
 
+def test_line_dedup_of_every_pair_in_many_rounds(spark, monkeypatch):
+    """Lines in another order in most documents, so that holders are asked round after round, in many shares."""
+    for name, value in (("SLICE", 1), ("WIDER", 2), ("DEALT", 2)):
+        monkeypatch.setattr(line_dedup, name, value)
+    rounds = []
+    asked = line_dedup._asked
+    monkeypatch.setattr(line_dedup, "_asked", lambda *a: rounds.append(a[2:]) or asked(*a))
+    rng = np.random.default_rng(20)
+    rows = []
+    for k in range(70):
+        lines = [f"line {x}" for x in rng.permutation(5)[: rng.integers(1, 5)]] + ["twice"] * int(rng.integers(0, 3)) + ([""] if k % 3 else [])
+        rows.append((k, "\n".join([lines[x] for x in rng.permutation(len(lines))] + [f"own {k}"])))
+    got = collect(line_dedup.line_dedup(frame(spark, rows, True), every_pair=True), "doc_id", "n_lines", "n_removed", "kept_text")
+    assert got == sorted(brute_all_pairs(rows), key=repr)
+    assert rounds[:3] == [(0, 1), (1, 2), (2, 4)]
+
+
 def test_registered_line_dedup_is_of_every_pair(spark, sf_dir):
     from cellbasis.llm import queries
 
