@@ -3,7 +3,7 @@
 Every line two documents share leads to a pair with its first holder (smallest id): rare lines and lines that a third of
 all documents have alike give at most one pair a document. Where that pair doesn't align the line, as the holder has it
 twice or in another order, `every_pair` goes on to the first holder that has it once, and what is left then to all earlier
-holders, eight of them first and eight times as many whenever something is still left. These are told apart by their
+holders, eight of them first and 32 times as many whenever something is still left. These are told apart by their
 profiles only, in which lines that no other document has are blotted out: no alignment depends on more. Pairs carry
 hashes of lines, never text.
 """
@@ -25,7 +25,7 @@ from cellbasis.llm.common import attach, ready, written
 NULL_ID = (1 << 63) - 1
 SHARE = 256  # pairs that one copy of a first holder's lines serves
 SLICE = 8  # holders of a line that what first holders left is aligned with first; after them WIDER times as many
-WIDER = 8
+WIDER = 32
 DEALT = 4096  # rows that ask for a line, and holders of it, in one share
 _BLANK = " \t\x0b\x0c\r"
 SCHEMA = "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string"
@@ -282,4 +282,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = _united(_gone(pairs, keyed.select(F.col("doc").alias("first"), "lines"), keyed.select("row", F.col("lines").alias("later")).dropDuplicates(["row"])))
     if every_pair:
         gone = _further(keyed, shared, written(gone, "gone"))
-    return plain.withColumn("row", F.xxhash64("doc_id", "text")).join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(_cut, SCHEMA)
+    # a merge at every size: `gone` grows with the documents
+    return plain.withColumn("row", F.xxhash64("doc_id", "text")).join(gone.hint("merge"), "row", "left").select("doc_id", "text", "gone").mapInArrow(_cut, SCHEMA)
