@@ -209,6 +209,7 @@ def ramp_confound(cells: DataFrame, grid: Grid, measured: str, masks: list[str],
     found = found.where(F.coalesce(F.col(measured), F.lit(False)))
     subsets = {"all": F.lit(True)} | {f"residual >= {b:.2f}": F.coalesce(F.col("residual") >= b, F.lit(False)) for b in RESIDUAL_BANDS}
     subsets[f"residual < {RESIDUAL_BANDS[0]:.2f}"] = F.coalesce(F.col("residual") < RESIDUAL_BANDS[0], F.lit(False))
-    long = found.select(*masks, F.explode(F.array(*[F.struct(F.lit(k).alias("subset"), m.alias("member")) for k, m in subsets.items()])).alias("s")).select(*masks, "s.*")
-    kept = [F.nanvl(F.lit(100.0) * ratio(F.count_if(F.col("member") & F.coalesce(F.col(m), F.lit(False))), F.count_if("member")), F.lit(None)).alias(f"{m}_pct") for m in masks]
-    return long.groupBy("subset").agg(F.count_if("member").alias("cells"), *kept)
+    pct = lambda member, m: F.nanvl(F.lit(100.0) * ratio(F.count_if(member & F.coalesce(F.col(m), F.lit(False))), F.count_if(member)), F.lit(None))
+    # one row whatever was found, so each subset has its own
+    told = found.agg(*[F.struct(F.lit(k).alias("subset"), F.count_if(member).alias("cells"), *[pct(member, m).alias(f"{m}_pct") for m in masks]).alias(f"s{i}") for i, (k, member) in enumerate(subsets.items())])
+    return told.select(F.explode(F.array(*told.columns)).alias("s")).select("s.*")

@@ -30,3 +30,7 @@ def flat(tmp_path):
 
 def test_report_of_no_step(spark, flat):
     assert agree(spark, flat, "sharp_report") == ["(0, nan, 0, None, None, None, None, None, 0)"]
+
+
+def test_subsets_of_no_step(spark, flat):
+    assert len(agree(spark, flat, "confounded_steps")) == 6
