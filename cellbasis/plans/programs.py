@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellbasis.functions.grid import Grid
-from cellbasis.functions.refusals import CompareRefusal, EmptyFolder
+from cellbasis.functions.refusals import CompareRefusal
 from cellbasis.functions.scalars import GROUND, check_void, ratio
 from cellbasis.operators import blocks, catalogue, compare, steps
 from cellbasis.sinks.record import append_lines
 from cellbasis.sources import las, raster, returns
+from cellbasis.sources.files import opened
 
 # Fields of the record that may differ between two runs of one release, and the bounds of planar windows in metres.
 MAY_DIFFER = ("created_utc", "package_version", "reproducibility_hash")
@@ -163,22 +164,23 @@ def smoke(points: DataFrame, tiles: DataFrame, box: tuple[float, float, float, f
 def read_once(spark: SparkSession, folder: str, config: str, number: int) -> DataFrame:
     """One pass over the folder's tiles: for each its digests, of the raw points and of what was decoded, and the seconds it took, or
     the error. An error is a row like any other."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(folder)
-    if not files.select("path").take(1):
-        raise EmptyFolder(f"no .las files in {folder}")
-    files = files.select(F.regexp_extract("path", r"([^/]+)\.las$", 1).alias("tile"), "content")
+    files = las.contents(spark, folder).select(F.col("tile_id").alias("tile"), "path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         for part in batches:
-            for tile, data in part.itertuples(index=False):
+            for tile, path, content in part.itertuples(index=False):
                 began, row = time.monotonic(), {"tile": tile, "config": config, "rep": number, "hash": None, "raw_hash": None, "points": None, "exit_code": 0, "error": None}
                 try:
-                    head = las.header(data, tile)
-                    p = las.points(data, head, 0, head["count"])
-                    decoded = hashlib.sha256(b"".join(np.ascontiguousarray(p[c]).tobytes() for c in ("x", "y", "z", "classification")))
-                    raw = hashlib.sha256(data[head["start"] : head["start"] + head["count"] * head["length"]])
+                    raw, decoded = hashlib.sha256(), hashlib.sha256()
+                    with opened(path, content) as file:
+                        head = las.head_of(file, tile)
+                        for c in ("x", "y", "z", "classification"):  # a digest of whole columns, one after the other, of which a slice is held
+                            for _, n, data in las.slices(file, head):
+                                decoded.update(np.ascontiguousarray(las.points(data, head | {"start": 0}, 0, n)[c]).tobytes())
+                                if c == "x":
+                                    raw.update(data)
                     row |= {"hash": decoded.hexdigest(), "raw_hash": raw.hexdigest(), "points": head["count"]}
                 except Exception as e:  # whatever goes wrong with a read is what this looks for
                     row |= {"error": f"{type(e).__name__}: {e}", "exit_code": 1}
