@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from cellbasis.plans import queries, reports
 from cellbasis.plans.registry import QUERIES, SQL
 
 
@@ -39,3 +40,10 @@ def test_subsets_of_no_step(spark, flat):
 def test_checks_of_no_cell(spark, flat):
     got = agree(spark, flat, "filter_checks")
     assert sum("None, " in r for r in got) == 2
+
+
+def test_a_catalogue_of_which_one_sortie_covers_the_area_is_not_refused(spark, tmp_path):
+    """Ten tiles a footprint, two on each of five days: the selection is of one sortie."""
+    duckdb.sql(f"COPY (SELECT CAST(i AS BIGINT) AS s_suppkey, CAST((i // 100) % 5 * 5 AS INT) AS s_nationkey FROM range(1000) r(i)) TO '{tmp_path}/supplier.parquet'")
+    told = reports.triage(queries._tiles(spark, str(tmp_path)), queries.AOI)
+    assert len(told["days"]) == 5 and told["refused"] is None and told["coverage"] == 1.0
