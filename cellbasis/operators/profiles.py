@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,31 +102,86 @@ def relief(cells: DataFrame, grid: Grid, value: str, longest: float = LONGEST_LA
     return out.where(keep)
 
 
-def clusters(candidates: DataFrame, radius: float, order: list[Column], key: str = "seq") -> DataFrame:
+def _settled(part: pd.DataFrame, reach: float) -> np.ndarray:
+    """Of the candidates of a block and its halo, in order of `rank`: 1 for those that stay, -1 for those displaced, 0 for those that wait.
+
+    `fresh` ones stay and displace first. Then, best first, a candidate that nothing has displaced waits if it is not `own`, as what lies
+    around it is not all there, or if a better one near it waits; otherwise it stays. Members of a square are looked at together, and
+    those that are displaced, or already wait, are not looked at again.
+    """
+    x, y, own = part["x"].to_numpy(), part["y"].to_numpy(), part["own"].to_numpy()
+    said = np.zeros(len(part), dtype=np.int8)
+    said[part["fresh"].to_numpy()] = 1
+    waits = ~own
+    squares = {at: np.sort(members) for at, members in part.groupby(["sx", "sy"]).indices.items()}
+    open_ = dict(squares)
+    at = list(zip(part["sx"].tolist(), part["sy"].tolist(), strict=True))
+
+    def near(i: int, some: dict, left: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        sx, sy = at[i]
+        out = []
+        for key in [(sx + dx, sy + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]:
+            if key in some:
+                some[key] = some[key][left(some[key])]
+                out.append(some[key])
+        found = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+        return found[(x[found] - x[i]) ** 2 + (y[found] - y[i]) ** 2 <= reach * reach]
+
+    for i in np.flatnonzero(said == 1):
+        found = near(i, squares, lambda m: said[m] >= 0)
+        said[found[said[found] == 0]] = -1
+    for i in range(len(part)):
+        if said[i]:
+            continue
+        if waits[i]:
+            found = near(i, open_, lambda m: (said[m] == 0) & ~waits[m])
+            waits[found[found > i]] = True
+        else:
+            said[i] = 1
+            found = near(i, squares, lambda m: said[m] >= 0)
+            said[found[said[found] == 0]] = -1
+    return said
+
+
+def clusters(candidates: DataFrame, radius: float, order: list[Column], key: str = "seq", block: int = 24) -> DataFrame:
     """Candidates (seq, x, y, ...) that no better one within `radius` has displaced: greedy by `order`.
 
-    The greedy result is the lexicographically first maximal independent set: in each round those that come first among the
-    undecided around them stay and displace their neighbours. The neighbourhood is an equi-join over a hash of squares as wide
-    as the radius. Rounds are few: chains of ever better neighbours are short.
+    The greedy result is the lexicographically first maximal independent set: those that come first among the undecided around them stay
+    and displace their neighbours. Each round deals the undecided ones and those that the round before has kept into blocks of `block` x
+    `block` squares as wide as the radius, with a halo of one square, and a block settles all that does not wait for something outside it.
+    So the rounds follow how often a chain of ever better neighbours leaves its block, and not its length, which equal heights make long. The
+    blocks move by a third each round, so of three rounds one at least has any candidate well inside its block. The first undecided one of
+    all is settled in any case. A group is what lies in a block and its halo; on a grid that is bounded whatever the input.
     """
-    better = F.struct(*order, F.col(key))
-    bx, by = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
-    base = candidates.withColumns({"__order": better, "__bx": bx, "__by": by}).persist()
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spread = base.select(F.col(key).alias("a"), F.col("__order").alias("oa"), F.col("x").alias("ax"), F.col("y").alias("ay"), "__bx", "__by", near.alias("o"))
-    spread = spread.select("a", "oa", "ax", "ay", (F.col("__bx") + F.col("o.i")).alias("__bx"), (F.col("__by") + F.col("o.j")).alias("__by"))
-    pairs = spread.join(base.select(F.col(key).alias("b"), F.col("__order").alias("ob"), "x", "y", "__bx", "__by"), ["__bx", "__by"])
-    d2 = (F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2
-    pairs = pairs.where((F.col("a") != F.col("b")) & (d2 <= F.lit(radius * radius))).select("a", "b", (F.col("ob") < F.col("oa")).alias("b_first")).persist()
-    alive, kept = base.select(F.col(key).alias("r")), None
-    while True:
-        # undecided ones with a better undecided neighbour wait
-        live = pairs.join(alive.withColumnRenamed("r", "a"), "a", "left_semi").join(alive.withColumnRenamed("r", "b"), "b", "left_semi").persist()
-        waiting = live.where("b_first").select(F.col("a").alias("r")).distinct()
-        stay = alive.join(waiting, "r", "left_anti").persist()
-        gone = live.join(stay.withColumnRenamed("r", "b"), "b", "left_semi").select(F.col("a").alias("r")).distinct()
-        kept = stay if kept is None else kept.unionByName(stay)
-        alive = alive.join(stay, "r", "left_anti").join(gone, "r", "left_anti").checkpoint()
-        if alive.isEmpty():
-            break
-    return base.join(kept.withColumnRenamed("r", key), key, "left_semi").select(*candidates.columns)
+    side = radius * (1 + 1e-6)  # a little wider, so that rounding can't put squares of neighbours two apart
+    ranked = candidates.orderBy(*order, key).withColumn("__rank", F.monotonically_increasing_id()).checkpoint()
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    placed = F.coalesce((F.abs(x) < float("inf")) & (F.abs(y) < float("inf")), F.lit(False))
+    kept = ranked.where(~placed).select(F.col("__rank").alias("rank"))  # near nothing
+    live = ranked.where(placed).select(F.col("__rank").alias("rank"), x.alias("x"), y.alias("y"), F.lit(False).alias("fresh"))
+    live = live.withColumns({"sx": F.floor(F.col("x") / side).cast("long"), "sy": F.floor(F.col("y") / side).cast("long")})
+    shift = 0
+    while not live.where("not fresh").isEmpty():
+        live = _round(live, radius, block, shift).checkpoint()
+        kept = kept.unionByName(live.where("fresh").select("rank"))
+        shift = (shift + block // 3) % block
+    return ranked.join(kept.withColumnRenamed("rank", "__rank"), "__rank", "left_semi").select(*candidates.columns)
+
+
+def _round(live: DataFrame, radius: float, block: int, shift: int) -> DataFrame:
+    """`live` without those that were fresh and those that are displaced; those that stay are fresh."""
+
+    def spans(at: str):
+        low, high = [F.floor((F.col(at) + (shift + step)) / block).cast("long") for step in (-1, 1)]
+        return F.explode(F.sequence(low, high))
+
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rank", ignore_index=True)
+        part["own"] = ((part["sx"] + shift) // block == key[0]) & ((part["sy"] + shift) // block == key[1])
+        said = _settled(part, radius)
+        mine = part["own"] & ~part["fresh"] & (said >= 0)
+        part["fresh"] = said == 1
+        return part.loc[mine, ["rank", "x", "y", "fresh", "sx", "sy"]]
+
+    spread = live.select("*", spans("sx").alias("bx")).select("*", spans("sy").alias("by"))
+    return spread.groupBy("bx", "by").applyInPandas(one, "rank long, x double, y double, fresh boolean, sx long, sy long")

@@ -63,6 +63,33 @@ def test_clusters_equal_greedy(spark):
     assert profiles.clusters(frame.limit(0), 5.0, [-F.col("height")]).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 24])
+def test_clusters_equal_greedy_across_blocks(spark, block):
+    """A grid of candidates, several a place, of equal or few heights, so that chains run from block to block."""
+    rng = np.random.default_rng(5)
+    points = [(i, 0.5 * (i // 2 % 60) - 12.25, 0.5 * (i // 120) - 7.75, float(h)) for i, h in enumerate(rng.integers(0, 3, 7200))]
+    points = [p[:3] + (1.5,) if p[2] > 10 else p for p in points if rng.random() < 0.4]
+    frame = spark.createDataFrame(points, "seq long, x double, y double, height double")
+    assert sorted(r.seq for r in profiles.clusters(frame, 2.0, [-F.col("height")], block=block).collect()) == greedy(points, 2.0)
+
+
+def test_clusters_of_equal_heights_take_few_rounds(spark):
+    """Along a wall of one height each candidate waits for the one before it."""
+    points = [(i, 0.5 * i, 3.0, 1.5) for i in range(600)]
+    frame = spark.createDataFrame(points, "seq long, x double, y double, height double")
+    spark.sparkContext.setJobGroup("wall", "clusters of a wall")
+    got = sorted(r.seq for r in profiles.clusters(frame, 5.0, [-F.col("height")]).collect())
+    spark.sparkContext.setJobGroup("other", "other tests")
+    assert got == list(range(0, 600, 11))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("wall")) < 60
+
+
+def test_candidates_without_a_place_stay(spark):
+    points = [(1, None, 1.0, 2.0), (2, float("nan"), 1.0, 2.0), (3, 1.0, 1.0, 2.0), (4, 1.5, 1.0, 3.0), (5, 1.0, None, 1.0)]
+    frame = spark.createDataFrame(points, "seq long, x double, y double, height double")
+    assert sorted(r.seq for r in profiles.clusters(frame, 5.0, [-F.col("height")]).collect()) == [1, 2, 4, 5]
+
+
 def test_seams(spark):
     g = Grid(0.0, 20.0, 1.0, 20, 20, 3763)
     tiles = spark.createDataFrame([(0.0, 0.0, 10.0, 20.0), (10.0, 0.0, 20.0, 20.0)], "minx double, miny double, maxx double, maxy double")
